@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import importlib.util
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm import lookalikes
+from quernstone.llm import bpe, leaks, lookalikes, spans
 from quernstone.sources.tables import table
 
 FULL_POST_WORDS = 20
@@ -22,5 +25,32 @@ def p6_seen(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.with_seen(posts, ["title", "selftext"]).select("post_id", "title_seen", "selftext_seen")
 
 
-QUERIES = {"p6_found": p6_found, "p6_seen": p6_seen}
+def tokenizer_file(name: str) -> str:
+    """A public vocabulary: in the folder TOKENIZER_DIR names, else beside the installed files."""
+    spec = importlib.util.find_spec("public_tokenizers")
+    folder = os.environ.get("TOKENIZER_DIR") or (os.path.dirname(spec.origin) if spec else "/opt/tokenizers")
+    return os.path.join(folder, name)
+
+
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Ids of every document by byte_bpe_50k."""
+    return bpe.encode_table(table(spark, d, "documents"), "doc_id", "text", tokenizer_file("byte_bpe_50k.tiktoken"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Benchmark items that stand fully or partly in a document."""
+    return leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "benchmark"), "doc_id", "item_id").select("doc_id", "item_id")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that share a passage of at least 150 characters."""
+    return spans.shared_windows(table(spark, d, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id")).distinct()
+
+
+def p9_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Of every document the share found elsewhere, and the passages."""
+    return spans.shared_spans(table(spark, d, "documents"), "doc_id", "text")
+
+
+QUERIES = {f.__name__: f for f in (p6_found, p6_seen, p7_ids, p8_found, p9_found, p9_spans)}
 ORACLE: dict[str, str] = {}

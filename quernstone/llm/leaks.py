@@ -29,23 +29,23 @@ def words_of(text: str | None) -> list[str]:
     return _word(text.lower()) if text else []
 
 
-class _Ids:
-    """Word -> 64-bit id; a worker remembers a bounded number of words."""
+class _Known(dict):
+    def __missing__(self, w: str) -> int:
+        x = self[w] = int.from_bytes(blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        return x
+
+
+class WordIds:
+    """Words -> 64-bit ids; a worker remembers a bounded number of words."""
 
     def __init__(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = _Known()
 
     def __call__(self, words: list[str]) -> np.ndarray:
+        if len(self.known) > 1 << 20:
+            self.known.clear()
         known = self.known
-        if len(known) > 1 << 20:
-            known.clear()
-        out = np.empty(len(words), np.uint64)
-        for i, w in enumerate(words):
-            x = known.get(w)
-            if x is None:
-                x = known[w] = int.from_bytes(blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-            out[i] = x
-        return out
+        return np.array([known[w] for w in words], np.uint64)
 
 
 class ItemGrams:
@@ -53,7 +53,7 @@ class ItemGrams:
 
     def __init__(self, items: list[tuple[int, str]], n: int) -> None:
         self.grams: dict[int, dict[int, list[tuple[tuple[str, ...], int]]]] = {}
-        ids, win = _Ids(), Windows()
+        ids, win = WordIds(), Windows()
         for item, text in items:
             words = words_of(text)
             k = min(n, len(words))
@@ -100,7 +100,7 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_key: str, item_key: str,
         shared = spark.sparkContext.broadcast(ItemGrams(block, n))
 
         def scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, win = _Ids(), Windows()
+            ids, win = WordIds(), Windows()
             for batch in batches:
                 rows = []
                 for doc, text in zip(batch[doc_key], batch["__text"]):

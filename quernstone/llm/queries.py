@@ -8,12 +8,32 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm import bpe, leaks, lookalikes, spans
+from quernstone.llm import bpe, leaks, lookalikes, nearduplicates, spans, splits
 from quernstone.sources.tables import table
 
 FULL_POST_WORDS = 20
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Keys whose labelled records stand in more than one split."""
+    return splits.leaking_keys(table(spark, d, "gold_labels"), table(spark, d, "stage0_filtered_posts"))
+
+
+def p1_splits(spark: SparkSession, d: str) -> DataFrame:
+    """Every labelled record with its component and its new split."""
+    return splits.linked_splits(table(spark, d, "gold_labels"), table(spark, d, "stage0_filtered_posts"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of full posts that are near-duplicates."""
+    return nearduplicates.similar_pairs(table(spark, d, "stage0_filtered_posts"), "post_id", "title", "selftext")
+
+
+def p3_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Every post's group of near-duplicates."""
+    return nearduplicates.similar_groups(table(spark, d, "stage0_filtered_posts"), "post_id", "title", "selftext")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Full posts that look the same and are stored differently."""
     return lookalikes.same_look(table(spark, d, "stage0_filtered_posts"), "post_id", ["title", "selftext"], "selftext", FULL_POST_WORDS)
@@ -52,5 +72,5 @@ def p9_spans(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_spans(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_seen, p7_ids, p8_found, p9_found, p9_spans)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p3_found, p3_groups, p6_found, p6_seen, p7_ids, p8_found, p9_found, p9_spans)}
 ORACLE: dict[str, str] = {}

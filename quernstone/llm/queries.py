@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm import bpe, leaks, lookalikes, nearduplicates, spans, splits
+from quernstone.llm import abuse, bpe, leaks, lookalikes, nearduplicates, spans, splits
 from quernstone.sources.tables import table
 
 FULL_POST_WORDS = 20
@@ -24,6 +24,21 @@ def p1_splits(spark: SparkSession, d: str) -> DataFrame:
     return splits.linked_splits(table(spark, d, "gold_labels"), table(spark, d, "stage0_filtered_posts"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Posts with abusive, hateful or sexually explicit language."""
+    return abuse.post_scores(table(spark, d, "stage0_filtered_posts")).where(F.col("score") >= abuse.CASE).select("post_id")
+
+
+def p2_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Every post's score and category."""
+    return abuse.post_scores(table(spark, d, "stage0_filtered_posts"))
+
+
+def p2_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Every board's rate of such posts."""
+    return abuse.source_rates(table(spark, d, "stage0_filtered_posts"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of full posts that are near-duplicates."""
     return nearduplicates.similar_pairs(table(spark, d, "stage0_filtered_posts"), "post_id", "title", "selftext")
@@ -72,5 +87,5 @@ def p9_spans(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_spans(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p3_found, p3_groups, p6_found, p6_seen, p7_ids, p8_found, p9_found, p9_spans)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p2_found, p2_scores, p2_rates, p3_found, p3_groups, p6_found, p6_seen, p7_ids, p8_found, p9_found, p9_spans)}
 ORACLE: dict[str, str] = {}

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from quernstone.session import cut_lineage
+
 # Letters of other scripts that look like a plain letter, in natural order.
 LOOKALIKES = {
     # Cyrillic
@@ -169,22 +171,18 @@ def same_look(df: DataFrame, key: str, columns: list[str], long_column: str, lea
     n = range(len(columns))
     long = columns.index(long_column)
     words = lambda c: F.size(F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
-    # plain texts are their own form; only keys of the others travel to be looked up
-    keyed = base.select(
-        "id",
-        F.md5(F.concat_ws("\x00", *[F.col(f"t{i}") for i in n])).alias("stored"),
-        *[F.md5(f"t{i}").alias(f"h{i}") for i in n],
-        *[is_plain(F.col(f"t{i}")).alias(f"p{i}") for i in n],
-        words(F.col(f"t{long}")).alias("words"),
-    )
-    texts = base.select(F.explode(F.array(*[f"t{i}" for i in n])).alias("text"))
-    forms = seen_forms(texts.select(F.md5("text").alias("k"), "text")).select("k", F.md5("seen").alias("h"), words(F.col("seen")).alias("w"))
-    for i in n:
-        own = keyed.where(F.col(f"p{i}"))
-        other = keyed.where(~F.col(f"p{i}")).join(forms, F.col(f"h{i}") == F.col("k"))
-        other = other.withColumn(f"h{i}", F.col("h")).withColumn("words", F.col("w") if i == long else F.col("words")).drop("k", "h", "w")
-        keyed = own.unionByName(other)
-    rows = keyed.where(F.col("words") >= least_words).select("id", F.md5(F.concat_ws(",", *[f"h{i}" for i in n])).alias("look"), "stored").distinct()
+    base = base.withColumn("stored", F.md5(F.concat_ws("\x00", *[f"t{i}" for i in n])))
+    look = lambda hashes: F.md5(F.concat_ws(",", *hashes))
+    dirty = [~is_plain(F.col(f"t{i}")) for i in n]
+    plain = ~F.greatest(*dirty)
+    narrow = base.select("id", "stored", plain.alias("plain"), *[F.md5(f"t{i}").alias(f"h{i}") for i in n], words(F.col(f"t{long}")).alias("words"))
+    # a text's key is that of its row and its column, so what is folded needs no look-up
+    texts = base.where(~plain).select(F.explode(F.array(*[F.struct(F.concat("stored", F.lit(f":{i}")).alias("k"), F.col(f"t{i}").alias("text")) for i in n])).alias("x")).select("x.*")
+    forms = seen_forms(texts).select(F.substring_index("k", ":", 1).alias("stored"), F.substring_index("k", ":", -1).cast("int").alias("i"), F.md5("seen").alias("h"), words(F.col("seen")).alias("w"))
+    folded = forms.groupBy("stored").agg(*[F.max(F.when(F.col("i") == i, F.col("h"))).alias(f"f{i}") for i in n], F.max(F.when(F.col("i") == long, F.col("w"))).alias("w"))
+    same = narrow.where("plain").select("id", "stored", "words", look([f"h{i}" for i in n]).alias("look"))
+    other = narrow.where("NOT plain").join(folded, "stored", "left").select("id", "stored", F.coalesce("w", "words").alias("words"), look([F.coalesce(f"f{i}", f"h{i}") for i in n]).alias("look"))
+    rows = cut_lineage(same.unionByName(other).where(F.col("words") >= least_words).select("id", "look", "stored").distinct())
     shapes = rows.select("look", "stored").distinct()
     several = shapes.alias("x").join(shapes.alias("y"), (F.col("x.look") == F.col("y.look")) & (F.col("x.stored") < F.col("y.stored"))).select(F.col("x.stored").alias("sa"), F.col("y.stored").alias("sb"))
     a = rows.select(F.col("id").alias("ia"), F.col("stored").alias("sa"))

@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm import abuse, bpe, leaks, lookalikes, nearduplicates, spans, splits
+from quernstone.llm import abuse, bpe, leaks, lookalikes, nearduplicates, pii, spans, splits
 from quernstone.sources.tables import table
 
 FULL_POST_WORDS = 20
@@ -49,6 +49,24 @@ def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     return nearduplicates.similar_groups(table(spark, d, "stage0_filtered_posts"), "post_id", "title", "selftext")
 
 
+_PERSONAL = {"stage0_filtered_posts": "selftext", "painpoints": "pain_point_snippet"}
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Types of personal information in any row of a post."""
+    parts = [pii.types_found(table(spark, d, name), "post_id", column).select(F.lit(name).alias("table_name"), "post_id", "pii_type") for name, column in _PERSONAL.items()]
+    return parts[0].unionByName(parts[1])
+
+
+def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """Every stored text with placeholders for personal information."""
+    parts = []
+    for name, column in _PERSONAL.items():
+        df = table(spark, d, name)
+        parts.append(df.select(F.lit(name).alias("table_name"), "post_id", pii.redacted(df, column)["text"].alias("text")))
+    return parts[0].unionByName(parts[1])
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Full posts that look the same and are stored differently."""
     return lookalikes.same_look(table(spark, d, "stage0_filtered_posts"), "post_id", ["title", "selftext"], "selftext", FULL_POST_WORDS)
@@ -87,5 +105,5 @@ def p9_spans(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_spans(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p2_found, p2_scores, p2_rates, p3_found, p3_groups, p6_found, p6_seen, p7_ids, p8_found, p9_found, p9_spans)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p2_found, p2_scores, p2_rates, p3_found, p3_groups, p4_found, p4_redacted, p6_found, p6_seen, p7_ids, p8_found, p9_found, p9_spans)}
 ORACLE: dict[str, str] = {}

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quernstone.plans import heavy
+from quernstone.plans import heavy, reporting, stage0
 
-_MODULES = (heavy,)
+_MODULES = (heavy, stage0, reporting)
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}

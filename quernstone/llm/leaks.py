@@ -24,9 +24,16 @@ BLOCK_ITEMS = 20_000
 _word = re.compile(r"[^\W_]+").findall
 
 
+#: For ASCII texts, cutting at these is the same and faster.
+_gaps = str.maketrans({chr(i): " " for i in range(128) if not chr(i).isalnum()})
+
+
 def words_of(text: str | None) -> list[str]:
     """Maximal runs of letters or digits, lower-cased."""
-    return _word(text.lower()) if text else []
+    if not text:
+        return []
+    low = text.lower()
+    return low.translate(_gaps).split() if low.isascii() else _word(low)
 
 
 class _Known(dict):

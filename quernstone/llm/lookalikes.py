@@ -75,9 +75,8 @@ def _expand(ch: str) -> str:
 def mapping() -> dict[str, str]:
     """Every code point that does not stand for itself; its size is bounded by Unicode."""
     out = {}
-    for cp in range(0x80, 0xF0000):
-        if 0xD800 <= cp < 0xE000 or 0x3400 <= cp < 0xA000 or 0x20000 <= cp < 0x2F800:
-            continue
+    # ideographs and Hangul syllables stand for themselves
+    for cp in (*range(0x80, 0x3400), *range(0xA000, 0xAC00), *range(0xF900, 0x1FC00), *range(0x2F800, 0x2FA20), *range(0xE0000, 0xE0200)):
         ch = chr(cp)
         if (to := _expand(ch)) != ch:
             out[ch] = to

@@ -106,4 +106,18 @@ def p9_spans(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p2_found, p2_scores, p2_rates, p3_found, p3_groups, p4_found, p4_redacted, p6_found, p6_seen, p7_ids, p8_found, p9_found, p9_spans)}
-ORACLE: dict[str, str] = {}
+_CODE = r"nullif(regexp_replace(upper(course_code), '[^\p{L}\p{N}]', '', 'g'), '')"
+_WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
+ORACLE = {
+    "p1_found": f"""WITH g AS (SELECT nullif(trim(post_id), '') AS p, {_CODE} AS c, nullif(upper(trim(split)), '') AS s FROM gold_labels),
+        u AS (SELECT DISTINCT post_id AS p, username AS u FROM stage0_filtered_posts WHERE username IS NOT NULL AND username <> '[deleted]'),
+        k AS (SELECT 'post_id' AS key_kind, p AS key_value, s FROM g UNION ALL SELECT 'course_code', c, s FROM g UNION ALL SELECT 'username', u, s FROM g JOIN u USING (p))
+        SELECT key_kind, key_value FROM k WHERE key_value IS NOT NULL AND s IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT s) > 1""",
+    "p8_found": f"""WITH i AS (SELECT item_id, ws, least(12, len(ws)) AS k FROM (SELECT item_id, {_WORDS} AS ws FROM benchmark WHERE text IS NOT NULL) WHERE len(ws) > 0),
+        g AS (SELECT DISTINCT item_id, k, array_to_string(ws[j : j + k - 1], ' ') AS gram FROM (SELECT *, unnest(range(1, len(ws) - k + 2)) AS j FROM i)),
+        d AS (SELECT doc_id, {_WORDS} AS ws FROM documents WHERE text IS NOT NULL),
+        w AS (SELECT DISTINCT doc_id, k, array_to_string(ws[j : j + k - 1], ' ') AS gram FROM (SELECT d.*, n.k, unnest(range(1, len(ws) - n.k + 2)) AS j FROM d, (SELECT DISTINCT k FROM g) n WHERE len(ws) >= n.k))
+        SELECT DISTINCT doc_id, item_id FROM w JOIN g USING (k, gram)""",
+    "p9_found": """WITH w AS (SELECT DISTINCT doc_id, md5(substr(text, j, 150)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 148)) AS j FROM documents WHERE length(text) >= 150))
+        SELECT DISTINCT doc_id FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1)""",
+}

@@ -136,13 +136,15 @@ def linked_splits(records: DataFrame, posts: DataFrame, parts: tuple = PARTS) ->
     Components in hash order take the split their middle falls in, so shares are met as
     closely as whole components allow; a component that holds most records takes one split.
     Records without any key are components of their own; repeated records stay repeated.
+    Existing columns named as the two new ones are replaced.
     """
+    records = records.drop("component", "new_split")
     keyed = cut_lineage(record_keys(records, posts))
     node = F.coalesce(_node("post_id", F.col("post_key")), _node("course_code", F.col("course_key")))
     labels = key_components(keyed)
-    every = keyed.withColumn("__node", node).join(labels.withColumnRenamed("node", "__node"), "__node", "left")
+    every = keyed.withColumn("__node", node).join(labels.select(F.col("node").alias("__node"), F.col("label").alias("__label")), "__node", "left")
     own = F.concat(F.lit("record:"), F.md5(F.to_json(F.struct(*[F.col(c) for c in records.columns]))))
-    every = every.withColumn("component", F.coalesce("label", own)).drop("label", "__node")
+    every = every.withColumn("component", F.coalesce("__label", own)).drop("__label", "__node")
     sizes = every.groupBy("component").agg(F.count(F.lit(1)).alias("size")).withColumn("h", F.xxhash64("component"))
     # running totals: by 4096 ranges of the hash first, then within a range
     sizes = sizes.withColumn("range", F.shiftright("h", 52))

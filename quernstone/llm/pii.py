@@ -12,6 +12,7 @@ import random
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from unicodedata import combining
 
 import numpy as np
 import pandas as pd
@@ -33,8 +34,8 @@ GIVEN = frozenset(
     hans hassan helen helena henry hiroshi hugo ian ibrahim imani ines ingrid isabel ivan jack jacob james jane jason javier jennifer jessica joao john
     jonas jose joseph joshua juan julia karen karim katherine kenji kevin khalid kofi kwame lars laura leila leo lena liam linda lisa louis lucas lucia
     luis magnus marcus maria marie mark marta martin mary matthew maya mei mercedes michael miguel mirela mohammed nadia naomi natalie nathan niall nicole nina
-    noah nora oleg olga oliver olivia omar oscar owen pablo patricia patrick paul pedro peter philip pierre priya rachel rafael raj rebecca richard robert
-    rosa ruth ryan samuel sandra sara sarah simon simone sofia sophie stellan stephen susan talia tariq teresa thomas tobias tomas valentina victor wei
+    noah nora odette oleg olga oliver olivia omar oscar owen pablo patricia patrick paul pedro peter philip pierre priya rachel rafael raj rebecca richard robert
+    rosa rosalind ruth ryan samuel sandra sara sarah simon simone sofia sophie stellan stephen susan talia tariq teresa thomas tobias tomas valentina victor wei
     william yuki yusuf zara zoe""".split()
 )
 #: Of these, the ones that are words as well when written in lower case.
@@ -89,8 +90,8 @@ _LINK = re.compile(r"(?:https?://|www\.)\S+|(?<!\w)/?[ur]/\w+", re.I)
 
 @lru_cache(1)
 def _one_to_one() -> dict[int, str]:
-    """Look-alikes by single characters; invisible ones become nothing."""
-    return {ord(k): v for k, v in mapping().items() if len(v) <= 1}
+    """Look-alikes as plain letters, ligatures as several; invisible ones become nothing."""
+    return {ord(k): v for k, v in mapping().items() if not any(map(combining, v))}
 
 
 @lru_cache(1)
@@ -107,9 +108,8 @@ def as_seen(text: str) -> tuple[str, list[int] | None]:
         return text, None
     out, at = [], []
     for i, ch in enumerate(text):
-        ch = table.get(ord(ch), ch)
-        if ch:
-            out.append(ch)
+        for c in table.get(ord(ch), ch):
+            out.append(c)
             at.append(i)
     return "".join(out), at
 
@@ -125,6 +125,7 @@ def _number_features(text: str, low: str, a: int, b: int) -> list[int]:
     s, left, right = low[a:b], low[max(0, a - 34) : a], low[b : b + 18]
     left = re.split(r"[.!?]\s|\n", left)[-1] if re.search(r"[.!?]\s\S{3,}|\n\S{3,}", left) else left
     near = left[-20:]
+    clause = re.split(r"[,;]\s|\s-\s", left.rstrip(" ,;-"))[-1]
     core = re.sub(r"\s?(?:ext|x)\.?\s?\d+$", "", s)
     words = len(re.findall(_NUMBER_WORDS, core))
     digits = sum(c.isdigit() for c in core) + words
@@ -136,7 +137,7 @@ def _number_features(text: str, low: str, a: int, b: int) -> list[int]:
         core.startswith("1-") or core.startswith("1 "), bool(re.search("[a-z]", re.sub(_NUMBER_WORDS, "", core))), words > 0,
         bool(re.fullmatch(r"(?:\d ){6,}\d", core)), bool(re.search(r"(?:ext|x)\.?\s?\d+$", s)), bool(re.fullmatch(r"(?:19|20)\d\d[-./]\d\d?[-./]\d\d?", core)),
         bool(re.fullmatch(r"\d{1,3}(?:\.\d{1,4}){1,3}", core)), bool(re.search(r"\d{4,}", core)), bool(re.match(r"[a-z]{1,2}\d", core)), "." in core, core.count("-") > 0,
-        bool(_CUE["phone"].search(left)), bool(_CUE["id"].search(left)), bool(_CUE["code"].search(left)), bool(_CUE["id"].search(near)), bool(_CUE["code"].search(near)), bool(_CUE["phone"].search(near)),
+        bool(_CUE["phone"].search(left)), bool(_CUE["id"].search(left)), bool(_CUE["code"].search(clause)), bool(_CUE["id"].search(near)), bool(_CUE["code"].search(clause[-20:])), bool(_CUE["phone"].search(near)),
         bool(re.search(r"\bfor|twice|file|ring|six|after|study|me\b", right)), left.rstrip().endswith(("(", ",", "/", "->", ":")), bool(re.search(r"0x$|[#$€]\s?$", left)),
     ]
 
@@ -180,7 +181,7 @@ def candidates(text: str) -> list[Span]:
     if len(low) != len(text):
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
     out: list[Span] = []
-    if "@" in low or "at" in low and "dot" in low:
+    if "@" in low or "[at]" in low or "(at)" in low or "{at}" in low or "dot" in low:
         for m in _EMAIL.finditer(low):
             s = m[0]
             plain = bool(re.fullmatch(r"[\w.+%-]+@[\w-]+(?:\.[\w-]+)+", s))
@@ -211,6 +212,10 @@ def candidates(text: str) -> list[Span]:
     for m in _CAPS.finditer(text):
         a, b = m.span()
         words = _words(m[0])
+        if not all(w[0].isupper() for w in words):
+            continue
+        if m[0].isupper() and GIVEN.isdisjoint(w.lower() for w in words) and sum(c.isupper() for c in text[max(0, a - 20) : a] + text[b : b + 20]) > 8:
+            continue  # amid a text in capitals they tell nothing
         if len(words) == 1 and (len(words[0]) < 2 or (words[0].lower() not in GIVEN and (words[0].lower() in _COMMON or words[0].isupper() or text[:a].rstrip()[-1:] in ("", *".!?…:;") or text[a - 1] == "\n"))):
             continue
         # leading and trailing words that are no names
@@ -303,7 +308,7 @@ def _sentences(rng: random.Random, n: int) -> Iterator[tuple[str, list[tuple[str
         text, found = made_of
         before, after = pick(fill + ["", ""]), pick(fill + ["", ""])
         parts = [x for x in (before, text, after, pick(["", "", "Naturally, it failed.", "Basically, that is it.", "Shit, I forgot the file.", "Question 4 was fine."])) if x]
-        yield "".join(x.rstrip(pick([".", ""])) + pick([" ", " ", "  ", "\n"]) for x in parts).rstrip(), found
+        yield "".join(x.rstrip(pick([".", ""])) + pick([" ", " ", "  ", "\n", ", ", " - ", "; "]) for x in parts).rstrip(" \n,;-"), found
 
 
 def _labelled(rng: random.Random, n: int) -> dict[str, tuple[list, list]]:

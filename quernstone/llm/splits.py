@@ -77,12 +77,17 @@ def components(edges: DataFrame, nodes: DataFrame | None = None, small_edges: in
     above = adjacency.join(spread, ["src", "salt"]).groupBy(F.col("dst").alias("node")).agg(F.max("rank").alias("best"))
     seeds = ranked.join(above, "node").where("rank > best").select("node", F.col("node").alias("label"))
     labels = frontier = cut_lineage(seeds)
+    rounds = 0
     while True:
         reached = _salted(frontier, "node", heavy).withColumnRenamed("node", "src").join(adjacency, ["src", "salt"]).groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("label"))
         frontier = cut_lineage(reached.join(labels, "node", "left_anti"))
         if frontier.isEmpty():
             break
-        labels = cut_lineage(labels.unionByName(frontier))
+        # each part is stored already; the union is stored anew only now and then
+        rounds += 1
+        labels = labels.unionByName(frontier)
+        if rounds % 8 == 0:
+            labels = cut_lineage(labels)
     # labels that meet at an edge, pre-aggregated by (label, end) before the second join
     met = adjacency.join(_salted(labels, "node", heavy).withColumnRenamed("node", "src"), ["src", "salt"]).select(F.col("dst").alias("node"), F.col("label").alias("a")).distinct()
     met = met.withColumn("salt", F.when(F.col("node").isin(heavy), F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0)) if heavy else F.lit(0))

@@ -161,8 +161,12 @@ def linked_splits(records: DataFrame, posts: DataFrame, parts: tuple = PARTS) ->
     for i in range(len(parts) - 2, -1, -1):
         edge -= parts[i + 1][1]
         new = F.when(F.col("__m") < edge, parts[i][0]).otherwise(new)
-    assigned = placed.withColumn("__m", middle).select("component", new.alias("new_split"))
-    return every.drop("post_key", "course_key", "user_keys").join(assigned, "component")
+    assigned = cut_lineage(placed.withColumn("__m", middle).select("component", new.alias("new_split"), (F.col("size") >= F.col("total") * F.lit(HEAVY_SHARE)).alias("heavy")))
+    # heavy components, at most 1 / HEAVY_SHARE, are broadcast; the others are joined by a shuffle
+    hot = F.broadcast(assigned.where("heavy").select("component", "new_split"))
+    every = every.drop("post_key", "course_key", "user_keys")
+    rest = every.join(hot.select("component"), "component", "left_anti").join(assigned.where("NOT heavy").select("component", "new_split"), "component")
+    return every.join(hot, "component").unionByName(rest)
 
 
 def leaking_keys(records: DataFrame, posts: DataFrame) -> DataFrame:

@@ -89,6 +89,23 @@ def read_post_index(spark: SparkSession, path: str) -> DataFrame:
     return rows.unionByName(keyed)
 
 
+def read_sql(spark: SparkSession, url: str, query: str, **options: str) -> DataFrame:
+    """A relational table by query over JDBC; filters on it are pushed down. With partitionColumn, lowerBound,
+    upperBound and numPartitions (and dbtable in place of the query) it is read in parallel."""
+    reader = spark.read.format("jdbc").option("url", url).options(**options)
+    return (reader if "dbtable" in options else reader.option("query", query)).load()
+
+
+def keep_existing(df: DataFrame, names: list[str]) -> DataFrame:
+    """The named columns that exist, in the given order."""
+    return df.select([n for n in names if n in df.columns])
+
+
+def widen(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """Adds missing columns as nulls; never drops one."""
+    return df.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields if f.name not in df.columns])
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

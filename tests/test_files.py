@@ -76,6 +76,12 @@ def test_optional_table(spark, tmp_path):
     assert files.optional_table(spark, str(tmp_path / "y"), S).columns == ["id", "n"]
 
 
+def test_columns(spark):
+    df = spark.range(1).selectExpr("id AS z", "id AS a")
+    assert files.keep_existing(df, ["a", "b", "z"]).columns == ["a", "z"]
+    assert files.widen(df, S).columns == ["z", "a", "id", "n"]
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(f"p{i:02}", i) for i in range(12)], S)
     sinks.write_chunks(df, "id", str(tmp_path / "chunks"))

@@ -49,7 +49,7 @@ class WordIds:
         self.known = _Known()
 
     def __call__(self, words: list[str]) -> np.ndarray:
-        if len(self.known) > 1 << 20:
+        if len(self.known) > 1 << 18:
             self.known.clear()
         known = self.known
         return np.array([known[w] for w in words], np.uint64)

@@ -70,7 +70,7 @@ def issue_course_matrix(index: DataFrame) -> DataFrame:
 
 def ranked(df: DataFrame, *order) -> DataFrame:
     """1-based unique rank over an aggregate of bounded size (courses, issues)."""
-    return df.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    return df.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
 
 
 def aligned_counts(spine: DataFrame, key: str, parts: list[tuple[str, DataFrame]]) -> DataFrame:

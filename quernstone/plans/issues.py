@@ -84,7 +84,7 @@ def q_facets(spark, d):
 def q_topn_per_region(spark, d):
     """The six customers with the greatest balance of every region."""
     c = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
-    return c.withColumn("rn", F.row_number().over(Window.partitionBy("r_name").orderBy(F.desc("c_acctbal"), F.asc("c_custkey")))).where("rn <= 6").select("r_name", "c_custkey", "rn")
+    return c.withColumn("rn", F.row_number().over(Window.partitionBy("r_name").orderBy(F.desc("c_acctbal"), F.asc("c_custkey"))).cast("bigint")).where("rn <= 6").select("r_name", "c_custkey", "rn")
 
 
 def q_thread_cap(spark, d):

@@ -74,7 +74,7 @@ def q_college_issue_topn(spark, d):
     cells = reports.issue_course_matrix(index(spark, d))
     colleges = table(spark, d, "courses").select(F.col("coursecode").alias("course_code"), F.explode(split_multi(F.col("colleges"))).alias("college"))
     per = cells.join(colleges, "course_code").groupBy("college", "global_cluster_id").agg(F.sum("posts").alias("posts"))
-    return per.withColumn("rn", F.row_number().over(Window.partitionBy("college").orderBy(F.desc("posts"), F.asc("global_cluster_id")))).where("rn <= 6")
+    return per.withColumn("rn", F.row_number().over(Window.partitionBy("college").orderBy(F.desc("posts"), F.asc("global_cluster_id"))).cast("bigint")).where("rn <= 6")
 
 
 def q_overrep(spark, d):

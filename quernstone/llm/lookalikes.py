@@ -152,11 +152,19 @@ def with_seen(df: DataFrame, columns: list[str]) -> DataFrame:
     breaks, the number of visible spaces, case and visible accents stay. Existing columns
     of the new names are replaced.
     """
+    df = df.drop(*[f"{c}_seen" for c in columns])
+    n = range(len(columns))
+    plain = F.lit(True)
     for c in columns:
-        keyed = df.withColumn("__k", F.when(~is_plain(F.col(c)), F.md5(c))).drop(f"{c}_seen")
-        forms = seen_forms(keyed.select(F.col("__k").alias("k"), F.col(c).alias("text")))
-        df = keyed.join(forms.select(F.col("k").alias("__k"), F.col("seen").alias("__seen")), "__k", "left").withColumn(f"{c}_seen", F.coalesce("__seen", c)).drop("__k", "__seen")
-    return df
+        plain = plain & F.coalesce(is_plain(F.col(c)), F.lit(True))
+    untouched = df.where(plain).select("*", *[F.col(c).alias(f"{c}_seen") for c in columns])
+    # only rows with something to fold are keyed and shuffled
+    other = df.where(~plain).withColumn("__k", F.md5(F.concat_ws("\x00", *[F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("")) for c in columns])))
+    texts = other.select(F.explode(F.array(*[F.struct(F.concat("__k", F.lit(f":{i}")).alias("k"), F.col(c).alias("text")) for i, c in enumerate(columns)])).alias("x")).select("x.*")
+    forms = seen_forms(texts).select(F.substring_index("k", ":", 1).alias("__k"), F.substring_index("k", ":", -1).cast("int").alias("i"), "seen")
+    folded = forms.groupBy("__k").agg(*[F.max(F.when(F.col("i") == i, F.col("seen"))).alias(f"__s{i}") for i in n])
+    joined = other.join(folded, "__k", "left").select(*df.columns, *[F.coalesce(f"__s{i}", c).alias(f"{c}_seen") for i, c in enumerate(columns)])
+    return untouched.unionByName(joined)
 
 
 def same_look(df: DataFrame, key: str, columns: list[str], long_column: str, least_words: int) -> DataFrame:

@@ -65,7 +65,7 @@ _COMMON = frozenset(
 )
 
 _WORD = r"[^\W\d_]+"
-_CAP = r"[^\W\d_a-z][^\W\d_]*"
+_CAP = r"[^\W\d_a-z][^\W\d_]*(?:['’-][^\W\d_a-z][^\W\d_]*)*"
 _SIGN, _SAID = r"\s?(?:@|\(at\)|\[at\]|\{at\})\s?", r"\sat\s"
 _POINT, _TOLD = r"(?:\.|\s?\(dot\)\s?|\s?\[dot\]\s?|\s?\{dot\}\s?|\sdot\s)", r"(?:\s?\(dot\)\s?|\s?\[dot\]\s?|\s?\{dot\}\s?|\sdot\s)"
 _USER = r"(?<![\w.+@-])[a-z0-9][a-z0-9._%+-]*"
@@ -123,7 +123,7 @@ class Span:
 
 def _number_features(text: str, low: str, a: int, b: int) -> list[int]:
     s, left, right = low[a:b], low[max(0, a - 34) : a], low[b : b + 18]
-    left = re.split(r"[.!?]\s|\n", left)[-1] if re.search(r"[.!?]\s\S{3,}|\n\S{3,}", left) else left
+    left = re.split(r"[.!?]\s|\n", left)[-1] if re.search(r"[.!?]\s\S|\n\S", left) else left
     near = left[-20:]
     clause = re.split(r"[,;]\s|\s-\s", left.rstrip(" ,;-"))[-1]
     core = re.sub(r"\s?(?:ext|x)\.?\s?\d+$", "", s)

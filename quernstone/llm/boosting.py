@@ -16,13 +16,15 @@ class BoostedTrees:
         self.threshold = 0.5
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> BoostedTrees:
-        x, y = x.astype(np.float64), y.astype(np.float64)
-        p = np.clip(y.mean(), 1e-3, 1 - 1e-3)
+        # rows of 0/1 features repeat a lot: each distinct one counts by its number
+        rows, weight = np.unique(np.column_stack([x, y]).astype(np.uint8), axis=0, return_counts=True)
+        x, y = rows[:, :-1].astype(np.float64), rows[:, -1].astype(np.float64)
+        p = np.clip(np.average(y, weights=weight), 1e-3, 1 - 1e-3)
         self.start = float(np.log(p / (1 - p)))
         margin = np.full(len(y), self.start)
         for _ in range(self.trees):
             p = 1 / (1 + np.exp(-margin))
-            g, h = y - p, p * (1 - p)
+            g, h = weight * (y - p), weight * p * (1 - p)
             node, asked = np.zeros(len(y), np.int64), np.zeros(2**self.depth - 1, np.int64)
             for level in range(self.depth):
                 first = 2**level - 1

@@ -242,7 +242,7 @@ def candidates(text: str) -> list[Span]:
 # ------------------------------------------------------------------ sentences made for training
 def _sentences(rng: random.Random, n: int) -> Iterator[tuple[str, list[tuple[str, str]]]]:
     """(sentence, [(type, value)]) from generic phrases; values are random."""
-    pick, digits = rng.choice, lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    pick, digits = rng.choice, lambda k: str(rng.randrange(10**k)).zfill(k)
     names = sorted(GIVEN)
 
     def made(least: int = 2) -> str:
@@ -294,8 +294,7 @@ def _sentences(rng: random.Random, n: int) -> Iterator[tuple[str, list[tuple[str
         p, e, t, a, (label, no) = person(), email(), phone(), place(), number()
         verb = pick(["said", "noted", "hinted", "claimed", "wrote back", "promised", "warned", "argued", "told us", "posted", "concluded"])
         role = pick(["tutor", "mentor", "evaluator", "instructor", "grader", "proctor", "advisor", "manager"])
-        made_of = pick(
-            [
+        known = [
                 (f"{p} {verb} that it was fine.", [("name", p)]), (f"{pick(['Usually', 'Then', 'Yesterday', 'If', 'Since Monday', 'Ironically', 'until', 'After work'])} {p} {verb} {pick(['to try again', 'one thing', 'a reason', 'us an index'])}.", [("name", p)]), (f"My {role} {p} never answered.", [("name", p)]), (f"I was told by {p} that it changed.", [("name", p)]),
                 (f"{pick(['Signed', 'Regards', 'Cheers', 'Thanks', 'Best'])}, {p}", [("name", p)]), (f"{pick(['Shout-out to', 'Thanks to', 'I asked', 'We waited for', 'A note from', 'Ask', 'Has anyone had'])} {p} {pick(['for a retake', 'about it', 'for calling back', 'as a mentor', 'and got links', 'lately'])}.", [("name", p)]), (f"{p} and {person()} are out.", [("name", p)]), (f"Initials were for {p}", [("name", p)]), (f"{p} graded my paper.", [("name", p)]), (f"{p} / {e} / {t}", [("name", p), ("email", e), ("phone", t)]), (f"Cc {p} <{e}>", [("name", p), ("email", e)]), (f"Ask {p} ({e}) about it.", [("name", p), ("email", e)]), (f"{p}, {t}", [("name", p), ("phone", t)]), (f"Student: {p}, {label} {no}, mailing to {a}.", [("name", p), ("id_number", no), ("address", a)]), (f"Ship it to {p}, {a}", [("name", p), ("address", a)]),
                 (f"{pick(['Write to', 'Contact:', 'You can reach me at', 'My mail is', 'Send it to', 'It came from', 'Contact ->', 'The page shows', 'Old login was'])} {e}{pick(['.', ' please', ', thanks', ' with my grade', ''])}", [("email", e)]),
@@ -303,9 +302,8 @@ def _sentences(rng: random.Random, n: int) -> Iterator[tuple[str, list[tuple[str
                 (f"{pick(['Support asked me to post', 'For the record,', 'The form printed my', 'Mix-up:', 'They want my', 'I held up a card with', 'my'])} {label} {no}{pick(['', ' for verification.', ', in case staff read this.', ' on camera.', ' is mine.', ' on the page.'])}", [("id_number", no)]),
                 (f"{pick(['I live at', 'They mailed it to', 'Moved from', 'We meet at', 'The label reads', 'My address is', 'Deliver to', ''])} {a}{pick(['', '.', ' and it is far.', ' last month.', ' instead.', ' on Thursdays.'])}", [("address", a)]),
             ]
-            + [(f(), []) for f in plain]
-        )
-        text, found = made_of
+        at = rng.randrange(len(known) + len(plain))
+        text, found = known[at] if at < len(known) else (plain[at - len(known)](), [])
         before, after = pick(fill + ["", ""]), pick(fill + ["", ""])
         parts = [x for x in (before, text, after, pick(["", "", "Naturally, it failed.", "Basically, that is it.", "Shit, I forgot the file.", "Question 4 was fine."])) if x]
         yield "".join(x.rstrip(pick([".", ""])) + pick([" ", " ", "  ", "\n", ", ", " - ", "; "]) for x in parts).rstrip(" \n,;-"), found

@@ -12,7 +12,10 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import product
 from math import log
+from re._parser import parse
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -131,7 +134,7 @@ class Restorer:
     """Undoes disguises; remembers a bounded number of tokens."""
 
     def __init__(self, model: CharModel) -> None:
-        self.model, self.known, self.telling = model, {}, set()
+        self.model, self.known, self.telling = model, {}, {}
 
     def token(self, token: str) -> str:
         core = _edge.sub("", token)
@@ -182,10 +185,10 @@ class Restorer:
         """Lower-cased text as seen, disguises undone."""
         return self.read(text)[0]
 
-    def read(self, text: str | None) -> tuple[str, bool]:
-        """The restored text, and whether it has any word that the rules start from."""
+    def read(self, text: str | None) -> tuple[str, int]:
+        """The restored text, and the rules, as bits, that may match it."""
         if not text:
-            return "", False
+            return "", 0
         low = fold_text(text).lower().replace("’", "'")
         if _spaced.search(low):
             low = _spaced.sub(self.spaced, low)
@@ -195,9 +198,12 @@ class Restorer:
             self.telling.clear()
         for t in set(tokens).difference(known):
             known[t] = word = self.token(t)
-            if not _TRIGGERS.isdisjoint(_tokens(word)):
-                self.telling.add(t)
-        return " ".join([known[t] for t in tokens]), not self.telling.isdisjoint(tokens)
+            if bits := rules_of(word):
+                self.telling[t] = bits
+        rules = _ALWAYS
+        for t in self.telling.keys() & tokens:
+            rules |= self.telling[t]
+        return " ".join([known[t] for t in tokens]), rules
 
 
 _noun = rf"(?:{'|'.join(sorted(map(re.escape, INSULTS), key=len, reverse=True))})(?:e?s)?"
@@ -236,28 +242,156 @@ _SELF = re.compile(r"\b(?:i am|i'm|im|i was|i feel|i felt|feel(?:ing)? like|made
 _REACH = 70
 
 
-#: A text without any of these words matches no rule, so the rules need not be tried.
-_TRIGGERS = frozenset(w for w in _FORMS if w not in SLURRING) | frozenset(
-    """stupid dumb pathetic worthless disgusting useless brainless ugly vile subhuman waste smell ashamed brain miss shut cry dirt delete speak fuck screw
-    pity pities favor favour yourself urself kys die dead kill hurt beat stab shoot strangle choke punch smash hunt bury burn gut watch shoulder lights
-    finger fingers bone bones leg legs arm arms neck necks knee knees jaw teeth skull bat gun knife rifle shotgun pistol crowbar hammer address plate walk live lives
-    hospital morgue grave ditch ambulance wheelchair coma house enjoy throat throats bullet bleed suffer regret mercy meat women girls females men immigrants immigrant migrants migrant refugees refugee foreigners foreigner gay gays lesbians lesbian trans
-    transgender queer queers muslims muslim jews jew jewish christians christian catholics catholic hindus hindu sikhs blacks whites asians asian africans arabs mexicans latinos latinas hispanics indians chinese gypsies
-    disabled autistic handicapped elderly religious homeless mother mothers mom moms people folk folks student students man woman them cage zoo hole swamp jungle cave inferior lesser lower ruin sterilized sterilised exterminated gassed safer born normal horny sext
-    sexting nude nudes blowjob blowjobs handjob handjobs cumshot masturbating masturbate masturbates orgasm orgasms gangbang threesome milf milfs dildo dildos buddy pics pic naked panties onlyfans cock dick tits titties boobs pussy ass cunt
-    clit nipples wet hard bend ride riding touches touching rough moaning strip undress""".split()
+def _edge_first(items, after: bool) -> bool:
+    """Whether every match of a parsed pattern begins at a space or a word's edge; ``after``: whether what follows it does."""
+    for i, (op, arg) in enumerate(items):
+        rest = lambda: _edge_first(items[i + 1 :], after)  # noqa: B023, E731
+        match str(op):
+            case "LITERAL":
+                return chr(arg).isspace()
+            case "IN":
+                return all(str(a) == "CATEGORY_SPACE" or str(o) == "LITERAL" and chr(a).isspace() for o, a in arg)
+            case "AT":
+                return str(arg) == "AT_BOUNDARY" or rest()
+            case "SUBPATTERN":
+                return _edge_first(arg[-1], rest())
+            case "BRANCH":
+                follows = rest()
+                return all(_edge_first(x, follows) for x in arg[1])
+            case "MAX_REPEAT" | "MIN_REPEAT":
+                return _edge_first(arg[2], False) and (arg[0] > 0 or rest())
+            case _:
+                return False
+    return after
+
+
+def _readings(items, left: str = "", right: bool = False) -> tuple[set[str] | None, list[set[str]]]:
+    """Of a parsed pattern: all it matches, if that is a short list, and sets of strings one of which stands in every match.
+
+    A space is any white space, ``_EDGE`` a word's edge; ``left`` is the edge before, ``right`` whether one follows.
+    """
+    run, whole, covers = {left}, True, []
+    items = list(items)
+    for k, (op, arg) in enumerate(items):
+        before = _EDGE if all(x[-1:] in (_EDGE, " ") for x in run) else ""
+        after = _edge_first(items[k + 1 :], right)
+        op, also = str(op), []
+        exact: set[str] | None = None
+        if op == "LITERAL":
+            exact = {chr(arg)}
+        elif op == "IN" and all(str(o) == "LITERAL" or str(a) == "CATEGORY_SPACE" for o, a in arg):
+            exact = {chr(a) if str(o) == "LITERAL" else " " for o, a in arg}
+        elif op == "AT":
+            exact = {_EDGE if str(arg) == "AT_BOUNDARY" else ""}
+        elif op in ("ASSERT", "ASSERT_NOT"):
+            exact = {""}
+        elif op == "SUBPATTERN":
+            exact, also = _readings(arg[-1], before, after)
+        elif op == "BRANCH":
+            parts = [_readings(x, before, after) for x in arg[1]]
+            if all(x is not None for x, _ in parts):
+                exact = set().union(*(x for x, _ in parts))
+            else:
+                best = [_best([*c, *([x] if x is not None else [])]) for x, c in parts]
+                also = [set().union(*best)] if all(best) else []
+        elif op in ("MAX_REPEAT", "MIN_REPEAT"):
+            low, high, inner = arg
+            once, also = _readings(inner, before if high == 1 else "", after and high == 1)
+            if once is not None and high <= 2:
+                exact, also = {"".join(x) for k in range(low, high + 1) for x in product(once, repeat=k)}, []
+            else:
+                also = [*also, *([once] if once is not None else [])] if low else []
+        if exact is not None and len(run) * len(exact) <= 4000:
+            run = {x + y for x in run for y in exact}
+        else:
+            covers += [run, *also]
+            run, whole = exact if exact is not None else {""}, False
+    run = {x + _EDGE for x in run} if right else run
+    return (run, []) if whole else (None, [*covers, run])
+
+
+_EDGE = "\0"
+
+
+def _piece(text: str) -> str:
+    """The longest part of a match within one token, with its edges."""
+    parts = [x for x in re.split(r"\s+", re.sub(r"(?<=\w)(?=\s)|(?<=\s)(?=\w)", _EDGE, text)) if x.strip(_EDGE)]
+    return re.sub(f"{_EDGE}+", _EDGE, max(parts, key=_telling, default=""))
+
+
+#: Signs of no use, as most texts hold them: only speed depends on this list.
+_FREQUENT = frozenset(
+    "you your ur u i i'll i'm will the a an his her him he she they their them and for with that this of in on at who are is was were all me my it not people students should every can't cannot by to about another account world never over until while like want still there where time have know found all"
+    " how so get nobody would ever naked hard post send see feel show has come go office place home house car door family if".split()
 )
+
+
+def _telling(piece: str) -> tuple[bool, int]:
+    bare = piece.replace(_EDGE, "")
+    return bare not in _FREQUENT, len(bare)
+
+
+def _best(covers: list[set[str]]) -> set[str]:
+    """The most telling set of parts of tokens; empty if there is none."""
+    cut = [{_piece(x) for x in c} for c in covers]
+    return max((c for c in cut if c and all(c)), key=lambda c: (min(map(_telling, c)), min(map(len, c)), -len(c)), default=set())
+
+
+def _signs() -> tuple[dict[str, int], dict[str, int], int]:
+    """(whole words, parts of tokens, bits of rules without a sign): which rules, as bits, may match a text that holds them.
+
+    Derived from the rules, so a rule without any of its signs in a text's tokens cannot match there.
+    """
+    words, parts, always = Counter(), Counter(), 0
+    for i, (_, _, pattern) in enumerate(RULES):
+        exact, covers = _readings(parse(pattern.pattern))
+        best = _best(covers if exact is None else [exact])
+        always |= 0 if best else 1 << i
+        for x in best:
+            bare = x.replace(_EDGE, "")
+            # an edge inside a sign is left out: what holds the letters alone is a wider class
+            if x == _EDGE + bare + _EDGE and re.fullmatch(r"\w+", bare):
+                words[bare] |= 1 << i
+            else:
+                parts[max(x.split(_EDGE), key=len)] |= 1 << i
+    return dict(words), dict(parts), always
+
+
+_WORD_SIGNS, _PART_SIGNS, _ALWAYS = _signs()
+_word_runs = re.compile(r"\w+").findall
+
+
+@lru_cache(1 << 16)
+def rules_of(token: str) -> int:
+    """The rules, as bits, that have a sign in a restored token."""
+    bits = 0
+    for w in _word_runs(token):
+        bits |= _WORD_SIGNS.get(w, 0)
+    for part, of in _PART_SIGNS.items():
+        if part in token:
+            bits |= of
+    return bits
+
+
 _sentence = re.compile(r"(?<=[.!?…])\s+|\s+-\s+|\s{2,}")
-_tokens = re.compile(r"[a-z']+").findall
 
 
-def score_text(restored: str) -> tuple[float, str | None]:
-    """(score 0..1, category) of restored text: independent signs add up, the strongest names it."""
+@lru_cache(1 << 12)
+def _chosen(rules: int) -> list[tuple[str, float, re.Pattern]]:
+    return [r for i, r in enumerate(RULES) if rules >> i & 1]
+
+
+def score_text(restored: str, gate: bool = True) -> tuple[float, str | None]:
+    """(score 0..1, category) of restored text: independent signs add up, the strongest names it.
+
+    Without ``gate`` every rule is tried on every sentence, which gives the same.
+    """
     innocent, best, kind = 1.0, 0.0, None
     for sentence in _sentence.split(restored):
-        if _TRIGGERS.isdisjoint(_tokens(sentence)):
-            continue
-        for category, weight, pattern in RULES:
+        rules = _ALWAYS if gate else -1
+        for t in sentence.split() if gate else ():
+            rules |= rules_of(t)
+        for category, weight, pattern in _chosen(rules):
             for m in pattern.finditer(sentence):
                 before = sentence[max(0, m.start() - _REACH) : m.start()]
                 if category == "insult" and (_SELF.search(sentence[max(0, m.start() - 30) : m.end()].rsplit(" ", 1)[0]) or _REPORTED.search(sentence[max(0, m.start() - _REACH) : m.end()])):
@@ -310,7 +444,7 @@ def abuse_scores(df: DataFrame, key: str, column: str, keep: tuple[str, ...] = (
         restorer = Restorer(CharModel(model.value))
         for b in batches:
             out = b[names].copy()
-            scored = [score_text(low) if telling else (0.0, None) for low, telling in map(restorer.read, b["__text"])]
+            scored = [score_text(low) if rules else (0.0, None) for low, rules in map(restorer.read, b["__text"])]
             out["score"], out["category"] = [x for x, _ in scored], pd.Series([c for _, c in scored], dtype=object, index=out.index)
             yield out
 

@@ -100,33 +100,41 @@ def options(ch: str) -> list[tuple[str, float]]:
 
 
 def decode(noisy: str, model: CharModel, beam: int = 24) -> tuple[str, float]:
-    """The most likely reading of a disguised word, and its cost for each letter."""
-    best = {("  ", ""): 0.0}
-    for i, ch in enumerate(noisy):
-        then: dict[tuple[str, str], float] = {}
-        repeated = i > 0 and noisy[i - 1] == ch
-        for (context, text), cost in best.items():
+    """The most likely reading of a disguised word, and its cost for each letter; in time linear in its length."""
+    # context -> cost, letters as a chain of (the chain before, letter), their number
+    best: dict[str, tuple] = {"  ": (0.0, None, 0)}
+    for ch in noisy:
+        then: dict[str, tuple] = {}
+        for context, (cost, chain, n) in best.items():
             for read, price in options(ch):
                 if read:
-                    key, now = (context[1] + read, text + read), cost + price + model.known[context + read]
-                    if then.get(key, 1e9) > now:
-                        then[key] = now
-                    if (repeated or context[1] == read) and context[1] == read and then.get((context, text), 1e9) > cost + 0.2:
-                        then[(context, text)] = cost + 0.2  # the repeated sign stands for one letter
-                elif then.get((context, text), 1e9) > cost + price:
-                    then[(context, text)] = cost + price
+                    key, now = context[1] + read, cost + price + model.known[context + read]
+                    if key not in then or then[key][0] > now:
+                        then[key] = (now, (chain, read), n + 1)
+                    if context[1] == read and (context not in then or then[context][0] > cost + 0.2):
+                        then[context] = (cost + 0.2, chain, n)  # the repeated sign stands for one letter
+                elif context not in then or then[context][0] > cost + price:
+                    then[context] = (cost + price, chain, n)
         # Viterbi keeps one path for each context, and the cheapest contexts
-        kept: dict[str, tuple[float, str]] = {}
-        for (context, text), cost in then.items():
-            if context not in kept or cost < kept[context][0]:
-                kept[context] = (cost, text)
-        best = {(c, t): x for c, (x, t) in sorted(kept.items(), key=lambda x: x[1][0])[:beam]}
-    (_, text), cost = min(((k, x + model.known[k[0] + " "]) for k, x in best.items()), key=lambda x: x[1])
-    return text, cost / (len(text) + 1)
+        best = then if len(then) <= beam else dict(sorted(then.items(), key=lambda x: x[1][0])[:beam])
+    context, (cost, chain, n) = min(best.items(), key=lambda x: x[1][0] + model.known[x[0] + " "])
+    letters = []
+    while chain:
+        chain, letter = chain
+        letters.append(letter)
+    return "".join(reversed(letters)), (cost + model.known[context + " "]) / (n + 1)
 
 
 _spaced = re.compile(r"(?<![^\W_])(?:[a-z0-9$@!]{1,2}(?:\s{1,3}|[.\-_*])){2,}[a-z0-9$@!]{1,2}(?![^\W_]|[@$*!][^\W_])")
-_odd = re.compile(r"[a-z].*[0-9$@!|+*€£]|[0-9$@!|+*€£].*[a-z]|([a-z])\1\1")
+_letter, _sign = re.compile("[a-z]").search, re.compile("[0-9$@!|+*€£]").search
+_tripled, _doubled = re.compile(r"([a-z])\1\1").search, re.compile(r"([a-z])\1").search
+#: Letters with separators inside, and the endings that make an apostrophe none.
+_parted, _contracted = re.compile(r"[a-z]+(?:[.\-_'`~,]+[a-z]+)+").fullmatch, re.compile(r"'(?:s|re|ll|ve|d|m|t)$").search
+#: Where a token of several words is cut: first at signs that part words only, then at all.
+_CUTS = (re.compile(r"([^a-z0-9$@!*|+€£.\-_'`~,]+)"), re.compile(r"([^a-z0-9$@!*|+€£]+)"))
+#: Innocent words that have the letters of a word of the rules.
+_PLAIN = frozenset("looser ville hoot hoots go.at be.at".split())
+_long_run = re.compile(r"(.)\1{3,}")
 _edge = re.compile(r"^[^a-z0-9$@*]+|[^a-z0-9$*]+$")
 
 
@@ -138,19 +146,54 @@ class Restorer:
 
     def token(self, token: str) -> str:
         core = _edge.sub("", token)
-        if core in _SWAPPED and core not in _FORMS:
-            return token.replace(core, _SWAPPED[core])
-        if not core or len(core) > 40 or not _odd.search(core):
-            return token
-        if "*" in core:
+        word = self.word(core)
+        return token if word == core else token.replace(core, word)
+
+    def word(self, core: str) -> str:
+        """A disguised word, or a token of several, as most likely meant; else as it is."""
+        if not core:
+            return core
+        sure, read, cost = self.hit(core)
+        if sure:
+            return read
+        for cut in _CUTS:
+            parts = cut.split(core)
+            if len(parts) > 1:
+                found = [read if sure else p for p, (sure, read, _) in zip(parts, map(self.hit, parts))]
+                if found != parts:
+                    return "".join(found)
+        if read and len(read) > 3 and (cost < 2.2 or cost < 2.6 and not core.isalnum()):
+            if len(_long_run.sub(r"\1\1\1", core)) <= 40 or len(parts := _CUTS[1].split(core)) == 1:
+                return read
+            return "".join(map(self.word, parts))
+        return core
+
+    def hit(self, core: str) -> tuple[bool, str | None, float]:
+        """(whether it stands for a word that the rules look for, its reading if it is disguised, its cost)."""
+        if core in _FORMS or core in _PLAIN:
+            return False, None, 0.0
+        if core in _SWAPPED:
+            return True, _SWAPPED[core], 0.0
+        if "*" in core and _letter(core):
             pattern = re.compile("".join("[a-z]" if c == "*" else c if c in ABC else "[" + "".join(_LEET.get(c, c)) + "]" if c in _LEET else re.escape(c) for c in core))
             hits = [w for w in _FORMS if pattern.fullmatch(w)]
             if hits:  # nobody masks an innocent word
-                return token.replace(core, min(hits, key=lambda w: (w in SLURRING, self.model.cost(w))))
-        word, cost = decode(core, self.model)
-        if word in _FORMS or (word := _SQUEEZED.get(_squeeze(word), word)) in _FORMS or (cost < 2.6 and len(word) > 3 and not core.isalnum()) or (cost < 2.2 and len(word) > 3):
-            return token.replace(core, word)
-        return token
+                return True, min(hits, key=lambda w: (w in SLURRING, self.model.cost(w))), 0.0
+        if not _sign(core) and (core.isalpha() and _doubled(core) or _parted(core) and not _contracted(core)):
+            # all readings have these letters but for repeats, so the words looked for decide without a search
+            letters = re.sub("[^a-z]", "", core)
+            if letters in _FORMS or letters in _WORD_SIGNS:
+                word = letters
+            else:
+                word = _SQUEEZED.get(_squeeze(letters)) or _SOUGHT.get(_squeeze(letters))
+            if word and word != core:
+                return True, word, 0.0
+        if not (_letter(core) and _sign(core) or _tripled(core)):
+            return False, None, 0.0
+        word, cost = decode(_long_run.sub(r"\1\1\1", core), self.model)
+        if word in _FORMS or (word := _SQUEEZED.get(_squeeze(word), word)) in _FORMS:
+            return True, word, cost
+        return False, word, cost
 
     def spaced(self, match: re.Match) -> str:
         run = match[0]
@@ -358,6 +401,8 @@ def _signs() -> tuple[dict[str, int], dict[str, int], int]:
 
 
 _WORD_SIGNS, _PART_SIGNS, _ALWAYS = _signs()
+#: Further words of the rules, by their letters without repeats.
+_SOUGHT = {_squeeze(w): w for w in sorted(_WORD_SIGNS) if len(w) > 3 and w.isalpha()}
 _word_runs = re.compile(r"\w+").findall
 
 

@@ -64,6 +64,22 @@ _COMMON = frozenset(
     reportedly clearly obviously apparently seriously evidently meanwhile late early last next first shit damn hell god crap fuck jesus naturally basically truly sadly regrettably admittedly curiously oddly strangely supposedly somehow lately again second third mr mrs ms dr prof pdf isbn ssn id usa faq ok lol imo api url""".split()
 )
 
+#: Ordinary words that often begin a sentence or stand alone in a line, and may speak like a person; one sign among others.
+_ORDINARY = frozenset(
+    """support staff management admin admins administration faculty reddit google canvas proctors proctor tutors tutor mentors mentor teachers professors professor instructors instructor evaluators evaluator graders grader students classmates people
+    everything nothing something anything school college university work life time money exam exams test tests quiz homework assignment assignments class classes course courses lecture lectures lab labs grade grades grading feedback rubric essay paper papers
+    project projects module modules unit units chapter reading readings book books video videos webinar webinars question questions answer answers help update advice rant venting note warning reminder background context summary conclusion result results
+    day days week weeks month months year years today tonight morning part parts step steps option options task tasks section sections level levels total overall maybe perhaps however instead although though because whether whoever whatever
+    let make take give go come see look try keep stop start read write check watch wait never always often sometimes still yet even well okay sure right wrong good great best better worst bad easy hard long short new old
+    my mine ours theirs either neither both several two three four five six seven eight nine ten half none whose anyway besides plus like unlike despite regarding considering given seems looks feels sounds sent posted signed mods mod op fellow guys folks friend
+    mom dad mother father brother sister wife husband roommate partner boss manager advisor coach doctor nurse patient customer client company team group board committee office department program portal website system software app server voicemail email mail letter message messages phone call earlier later soon nice free hot""".split()
+)
+#: Endings of ordinary words, rarer in names.
+_ENDING = re.compile(r"(?:ing|ed|ion|ions|ment|ments|ness|ity|ive|ous|ful|less|able|ible|ers|ors|ies|ics|ence|ance|est|ly|ally|ss|ts|es|ks|ds|gs|ms|ps)$")
+_ACTS = re.compile(r"^\s(?:(?:\w+ly|has|had|just|then|also|never|only)\s)?(?:said|says|told|noted|hinted|claimed|argued|wrote|replied|answered|warned|mentioned|suggested|insisted|promised|agreed|admitted|denied|confirmed|graded|explained|emailed|called|helped|taught|shrugged|asked|gave|hung|responded|apologi[sz]ed|laughed|smiled|ignored|refused|offered|failed)\b")
+_ROLE_COLON = re.compile(r"\b(?:tutor|mentor|evaluator|instructor|professor|proctor|advisor|manager|grader|teacher|student|name|author|contact|from|by|signed|coach|cc|attn)\s?:\s*$")
+_ROLE_BEFORE = re.compile(r"\b(?:tutor|mentor|evaluator|instructor|professor|proctor|advisor|grader|teacher|roommate|classmate|named|colleague)\s([a-z]{3,})(?![\w@./'’-])")
+
 _WORD = r"[^\W\d_]+"
 _CAP = r"[^\W\d_a-z][^\W\d_]*(?:['’-][^\W\d_a-z][^\W\d_]*)*"
 _SIGN, _SAID = r"\s?(?:@|\(at\)|\[at\]|\{at\})\s?", r"\sat\s"
@@ -77,6 +93,7 @@ _PLACE_A = re.compile(rf"(?<![\w.])(?:(?:unit|apt|flat|suite)\s\w{{1,5}},\s)?\d{
 _PLACE_B = re.compile(rf"(?<![\w])[^\W\d_]{{3,}}(?:stra(?:ss|ß)e|str\.|gasse|weg|platz|allee)\s\d{{1,4}}[a-z]?\b(?:(?:,\s?|\sin\s|\n){_WORD})?(?:\s\d{{4,5}})?", re.I)
 _TITLED = re.compile(rf"(?<![\w;])(?:(?:[Mm]rs?|MRS?|[Mm]s|MS|[Dd]r|DR|[Pp]rof|PROF|[Pp]rofessor|Rev|Mme|Frau|Herr)\.?|Miss|Sir|Señora?)\s({_WORD})(?:\s({_WORD}))?")
 _CAPS = re.compile(rf"(?<![\w@./+-]){_CAP}(?:(?:,\s|\s(?:[^\W\d_a-z]\.\s)?){_CAP}){{0,2}}(?![\w@])")
+_CAPITAL, _NEXT = re.compile(_CAP), re.compile(rf"\s({_CAP})(?![\w@])")
 _LOWER = re.compile(rf"(?<![\w@./+-])(?:{'|'.join(sorted(GIVEN - _ALSO_WORDS))})(?:\s[a-z]\.)?(?:\s([a-z]{{4,}}))?(?![\w@]|\.\w|\s?@)")
 #: Cheap signs without which the slower patterns cannot match.
 _HINT_NUMBER = re.compile(rf"\d(?:[\s().\-/]{{0,2}}(?:\d|\b(?:{_NUMBER_WORDS})\b)){{4}}", re.I)
@@ -156,7 +173,7 @@ def _place_features(text: str, low: str, a: int, b: int, foreign: bool) -> list[
     ]
 
 
-def _name_features(text: str, low: str, a: int, b: int, kind: int) -> list[int]:
+def _name_features(text: str, low: str, a: int, b: int, kind: int, plain: frozenset[str] | set[str] = frozenset()) -> list[int]:
     s, left, right = text[a:b], low[max(0, a - 26) : a], low[b : b + 26]
     words = re.findall(_WORD, s)
     lows = [w.lower() for w in words]
@@ -166,12 +183,16 @@ def _name_features(text: str, low: str, a: int, b: int, kind: int) -> list[int]:
     start = not left.strip() or left.rstrip()[-1] in ".!?…\n:;" or "\n" in left[-2:] or left.endswith("  ")
     upper = s.isupper() and len(s) > 3
     around = text[max(0, a - 25) : a] + text[b : b + 25]
+    fresh = len(bare) == 1 and not given[0]
+    line = (a == 0 or "\n" in left[len(left.rstrip(" \t-–—~")) - 1 :] or not left.strip(" \t-–—~")) and bool(re.match(r"[ \t.!]*(?:\n|$)", right))
     return [
         bool(given) and given[0], any(given[1:]), len(bare) == 1, len(bare) == 2, len(bare) >= 3, "," in s, bool(re.search(r"\s[^\W\d_]\.\s", s)), kind == 1, kind == 2,
         upper, upper and sum(c.islower() for c in around) < 4, s.islower(), start, any(w in _PLACE_WORDS for w in bare), any(w in _CALENDAR for w in bare), any(w in _COMMON for w in bare),
         bool(before) and before[-1] == "the", bool(before) and before[-1] in ("a", "an", "in", "on", "of", "at"), bool(before) and bool(_CUE["person"].search(before[-1])), bool(before) and before[-1] in ("by", "from", "signed", "cc", "ask", "student", "tutor", "mentor", "mrs", "mr", "ms", "dr", "then", "told", "until", "named", "contact", "dear", "hi"),
         bool(_CUE["says"].search(right.lstrip(",")) if not right.startswith((".", "!", "?")) else False), bool(re.match(r"\s*[<(/]", right)), bool(re.match(r"\s*(?:[.!?\n]|$)", right)), bool(re.match(r",", right)), bool(re.match(r"\s+\d", right)), bool(re.search(r"\d\s*$", left)), bool(re.search(r"\d,\s*$", left)),
         max((len(w) for w in bare), default=0) >= 6, all(len(w) <= 3 for w in bare), any(re.fullmatch(STREET, w) for w in bare), bool(bare) and bare[-1].endswith("ly"),
+        fresh and start, fresh and line, fresh and left.rstrip().endswith(":"), bool(_ROLE_COLON.search(left)), bool(_ACTS.search(right)), any(w in _ORDINARY for w in bare), any(w in plain for w in bare), bool(bare) and bool(_ENDING.search(bare[-1])),
+        fresh and upper and len(s) <= 5, kind == 4, sum(c.isupper() for c in around) > 12,
     ]
 
 
@@ -197,12 +218,12 @@ def candidates(text: str) -> list[Span]:
     for foreign, pattern, likely in ((False, _PLACE_A, not _ROADS.isdisjoint(words_in)), (True, _PLACE_B, _HINT_PLACE.search(low))):
         for m in pattern.finditer(text) if likely else ():
             out.append(Span("address", *m.span(), _place_features(text, low, *m.span(), foreign)))
-    seen = set()
+    seen, plain = set(), set(_words(text))  # with their case: whether a word stands in lower case too
 
     def add(a: int, b: int, kind: int) -> None:
         if (a, b) not in seen:
             seen.add((a, b))
-            out.append(Span("name", a, b, _name_features(text, low, a, b, kind)))
+            out.append(Span("name", a, b, _name_features(text, low, a, b, kind, plain)))
 
     given = not GIVEN.isdisjoint(words_in)
     for m in _TITLED.finditer(text) if not _TITLES.isdisjoint(words_in) else ():
@@ -214,12 +235,19 @@ def candidates(text: str) -> list[Span]:
         words = _words(m[0])
         if not all(w[0].isupper() for w in words):
             continue
-        if m[0].isupper() and GIVEN.isdisjoint(w.lower() for w in words) and sum(c.isupper() for c in text[max(0, a - 20) : a] + text[b : b + 20]) > 8:
-            continue  # amid a text in capitals they tell nothing
-        if len(words) == 1 and (len(words[0]) < 2 or (words[0].lower() not in GIVEN and (words[0].lower() in _COMMON or words[0].isupper() or text[:a].rstrip()[-1:] in ("", *".!?…:;") or text[a - 1] == "\n"))):
+        amid = m[0].isupper() and sum(c.isupper() for c in text[max(0, a - 20) : a] + text[b : b + 20]) > 8
+        if amid:
+            # amid a text in capitals they do not part names from other words: each word, alone and with the next
+            for w in _CAPITAL.finditer(text, a, b):
+                if len(w[0]) > 1 and w[0].lower() not in _COMMON | _CALENDAR:
+                    add(*w.span(), 0)
+                    follows = _NEXT.match(text, w.end())
+                    if follows and len(follows[1]) > 1 and w[0].lower() not in _ORDINARY and follows[1].lower() not in _COMMON | _CALENDAR | _SAYS:
+                        add(w.start(), follows.end(), 0)
+        if len(words) == 1 and (len(words[0]) < 2 or words[0].lower() not in GIVEN and words[0].lower() in _COMMON):
             continue
         # leading and trailing words that are no names
-        while words and words[0].lower() in _COMMON | _CALENDAR:
+        while words and (words[0].lower() in _COMMON | _CALENDAR or amid and len(words) > 1 and words[0].lower() in _ORDINARY):
             a = text.index(words[0], a) + len(words.pop(0))
             while a < b and not text[a].isalpha():
                 a += 1
@@ -227,7 +255,7 @@ def candidates(text: str) -> list[Span]:
             b = text.rindex(words.pop(), a, b)
             while b > a and not (text[b - 1].isalpha() or text[b - 1] == "."):
                 b -= 1
-        if words and len(words[0]) > 1 and not (len(words) == 1 and words[0].isupper() and words[0].lower() not in GIVEN):
+        if words and len(words[0]) > 1:
             add(a, b, 0)
     if given:
         for m in _LOWER.finditer(text):
@@ -235,6 +263,9 @@ def candidates(text: str) -> list[Span]:
         for m in _BEFORE.finditer(text):
             if m[2].lower() in GIVEN and m[1].lower() not in _COMMON and (m[1][:1].isupper() or m[2].islower()):
                 add(*m.span(), 3)
+    for m in _ROLE_BEFORE.finditer(text):
+        if m[1] not in _COMMON and m[1] not in _SAYS:
+            add(*m.span(1), 4)
     links = [m.span() for m in _LINK.finditer(text)] if "/" in text or "www" in low else []
     return [c for c in out if not any(x <= c.start < y for x, y in links)]
 
@@ -248,6 +279,13 @@ def _sentences(rng: random.Random, n: int) -> Iterator[tuple[str, list[tuple[str
     def made(least: int = 2) -> str:
         return "".join(pick(["ba", "cor", "del", "fen", "gar", "hol", "kin", "lor", "mar", "nor", "pel", "quin", "ros", "sto", "tren", "ul", "ver", "wen", "yar", "zel"]) for _ in range(rng.randint(least, 2))) + pick(["son", "man", "ez", "ova", "berg", "ley", "ton", "ski", "ini", "well", "field", "ard", "ish", "ucci", "more"])
 
+    def alone() -> str:
+        return made(pick([1, 1, 2])).capitalize() if rng.random() < 0.8 else pick(names).capitalize()
+
+    def ordinary() -> str:
+        stem = pick(["Stud", "Grad", "Pass", "Fail", "Test", "Learn", "Review", "Report", "Quest", "Month", "Cheat", "Order", "Format", "Count", "Market", "Print", "Record", "Train"])
+        return pick([pick(sorted(_ORDINARY)).capitalize()] * 2 + [stem + pick(["", "ing", "ers", "ed", "s", "ment", "ion", "able", "ings"])])
+
     def cased(s: str) -> str:
         return pick([s] * 7 + [s.lower(), s.upper()])
 
@@ -288,13 +326,17 @@ def _sentences(rng: random.Random, n: int) -> Iterator[tuple[str, list[tuple[str
         lambda: f"The {made().capitalize()} {pick(['Lane', 'Hall', 'Court', 'Street'])} case on page {digits(3)} is long.", lambda: f"We met in {made().capitalize()} {pick(['Hall', 'Wing', 'Library', 'Center'])} on Monday.", lambda: f"Chapter {digits(1)}, {pick(['Street', 'Court', 'Road'])} {pick(['Level', 'Art', 'Rules'])} {pick(['Networks', 'History'])}, is dull.", lambda: f"The {pick(['Supreme Court', 'Court of Appeals', 'Bill of Rights', 'Act'])} reading has {digits(3)} pages.",
         lambda: f"On {pick(['Friday', 'Sunday', 'Tuesday'])} I studied {digits(2)} pages on the way to class.", lambda: f"{pick(['Principles', 'Foundations', 'Practice'])} of {pick(['Data', 'Risk', 'Team'])} {pick(['Systems', 'Budgets', 'Registers'])} is hard.", lambda: f"The {pick(['Windows', 'Python', 'Excel', 'Canvas', 'English', 'German'])} guide is short.", lambda: f"I drove {digits(2)} miles down the road to the test center.", lambda: f"It took {digits(2)} hours to find a way around the drive.",
         lambda: f"EVERYONE KNOWS {pick(['THE RUBRIC', 'THIS COURSE', 'THE EXAM'])} IS BROKEN.", lambda: "The symbol in name@ breaks the parser.", lambda: "look at the dot at the end of the line.", lambda: f"See https://{made()}.example/t/{made()} for it.", lambda: f"Question {digits(2)} on the lab treats {pick(['recursion', 'labor law'])} badly.", lambda: f"Has {pick(['anyone', 'someone'])} passed {pick('QVNK')}{digits(3)} by reading {made().capitalize()} {pick(['Press', 'Hall'])} notes?",
+        lambda: f"{ordinary()} {pick(['is slow', 'was late', 'never works', 'told us to wait', 'said it was fine', 'and labs took days', 'for that took weeks', 'of the guide failed', 'the guide took days', 'about it was wrong', 'never answered', 'asked for more', 'on the portal broke', 'it again did nothing', 'should be easy'])}.", lambda: f"{ordinary()}: {ordinary()}", lambda: f"{ordinary()} today I {pick(['took', 'saw', 'failed'])} it.", lambda: f"so {pick(['leave', 'stop', 'read it'])}, {ordinary().upper()}, {pick(['all of you', 'you see', 'and think'])}.", lambda: f"the {pick(['stupid', 'long', 'worst'])} {ordinary().upper()}, it {pick(['failed', 'is late'])}.", lambda: f"{pick(['WRITE', 'SEND', 'SHOW', 'GIVE'])} ME {ordinary()} FOR {ordinary()} {ordinary()}!".upper(), lambda: f"It failed.\n{ordinary()}\nIt is late.", lambda: f"{ordinary()} {ordinary().lower()} {pick(['takes days', 'failed', 'was late'])}.",
+        lambda: f"{ordinary()} {pick(['a', 'the', 'my', 'this', 'to', 'in', 'at', 'I', 'we', 'you'])} {ordinary().lower()} {pick(['takes days', 'failed', 'was late'])}.", lambda: f"my {pick(['tutor', 'mentor', 'grader', 'teacher'])} {pick(['also', 'wants', 'keeps', 'left', 'posts', 'group', 'support', 'thinks', 'ignored', 'feedback', 'changed', 'training'])} {pick(['again', 'it', 'more', 'late'])}.", lambda: f"{ordinary()} {ordinary().lower()} {pick(['takes days', 'failed', 'was late'])}.".upper(), lambda: f"I SAID {ordinary()} {pick(['takes days', 'failed', 'told me', 'was late'])} AND {ordinary()} TOO.".upper(), lambda: f"The {pick(['PDF', 'GPA', 'FAFSA', 'HTML', 'SQL', 'NCLEX', 'RN', 'IT'])} {pick(['file', 'part', 'exam'])} is {pick(['long', 'late'])}.",
         lambda: f"The seed {digits(7)} gives the same result.", lambda: f"Reference {digits(4)}-{digits(4)} was never answered.", lambda: f"The lot of {digits(3)} students took the {pick(['long', 'short'])} way.", lambda: f"{pick(['Eventually', 'Reportedly', 'Honestly', 'Sadly'])} {pick(['Support', 'Nobody', 'Friday'])} came and went.", lambda: f"Send it from {made().capitalize()} on Thursdays.",
     ]
     for _ in range(n):
         p, e, t, a, (label, no) = person(), email(), phone(), place(), number()
         verb = pick(["said", "noted", "hinted", "claimed", "wrote back", "promised", "warned", "argued", "told us", "posted", "concluded"])
         role = pick(["tutor", "mentor", "evaluator", "instructor", "grader", "proctor", "advisor", "manager"])
+        only = alone()
         known = [
+                (f"{only} {pick(['never answered', 'told us to wait', 'said no', 'replied late', 'graded it', 'promised a retake', 'asked for more', 'hung up', 'emailed me back'])}.", [("name", only)]), (f"{pick(['It failed.', 'We waited.', 'Nobody helped.'])} {only} {pick(['told us to wait', 'said no', 'never replied', 'wrote back'])}.", [("name", only)]), (f"{pick(['Tutor', 'Mentor', 'Grader', 'Name', 'Instructor', 'Signed'])}: {only}", [("name", only)]), (f"{pick(['thank you for your help.', 'Any advice is welcome.', 'Thanks,', 'Best,'])}\n{only}", [("name", only)]), (f"MY {pick(['TUTOR', 'MENTOR', 'GRADER'])} {only.upper()} {pick(['NEVER ANSWERED', 'TOLD US TO WAIT', 'SAID NO'])}.", [("name", only.upper())]), (f"my {pick(['tutor', 'mentor', 'grader', 'teacher'])} {only.lower()} {pick(['never answered', 'told us to wait', 'said no', 'was late'])}.", [("name", only.lower())]),
                 (f"{p} {verb} that it was fine.", [("name", p)]), (f"{pick(['Usually', 'Then', 'Yesterday', 'If', 'Since Monday', 'Ironically', 'until', 'After work'])} {p} {verb} {pick(['to try again', 'one thing', 'a reason', 'us an index'])}.", [("name", p)]), (f"My {role} {p} never answered.", [("name", p)]), (f"I was told by {p} that it changed.", [("name", p)]),
                 (f"{pick(['Signed', 'Regards', 'Cheers', 'Thanks', 'Best'])}, {p}", [("name", p)]), (f"{pick(['Shout-out to', 'Thanks to', 'I asked', 'We waited for', 'A note from', 'Ask', 'Has anyone had'])} {p} {pick(['for a retake', 'about it', 'for calling back', 'as a mentor', 'and got links', 'lately'])}.", [("name", p)]), (f"{p} and {person()} are out.", [("name", p)]), (f"Initials were for {p}", [("name", p)]), (f"{p} graded my paper.", [("name", p)]), (f"{p} / {e} / {t}", [("name", p), ("email", e), ("phone", t)]), (f"Cc {p} <{e}>", [("name", p), ("email", e)]), (f"Ask {p} ({e}) about it.", [("name", p), ("email", e)]), (f"{p}, {t}", [("name", p), ("phone", t)]), (f"Student: {p}, {label} {no}, mailing to {a}.", [("name", p), ("id_number", no), ("address", a)]), (f"Ship it to {p}, {a}", [("name", p), ("address", a)]),
                 (f"{pick(['Write to', 'Contact:', 'You can reach me at', 'My mail is', 'Send it to', 'It came from', 'Contact ->', 'The page shows', 'Old login was'])} {e}{pick(['.', ' please', ', thanks', ' with my grade', ''])}", [("email", e)]),

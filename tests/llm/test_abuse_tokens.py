@@ -38,3 +38,10 @@ def test_long_tokens_take_linear_time(restorer):
     began = time.process_time()
     restorer.token("a1b2" * 20_000)
     assert time.process_time() - began < 20
+
+
+def test_letters_of_whole_words_are_counted(spark):
+    word = "ab" * 40 + "xyz"
+    got = abuse.letter_counts(spark.createDataFrame([(word,)], "text string"), "text")
+    want = Counter(abuse.trigrams(word))
+    assert got == dict(want) and got["xyz"] == 1

@@ -1,4 +1,4 @@
-"""Streaming queries; their SQL is the batch form."""
+"""Queries of feeds, windows and sessions; q_stream_* run as streams, the others on batches. Their SQL is the batch form."""
 
 from __future__ import annotations
 

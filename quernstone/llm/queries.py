@@ -95,6 +95,13 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "benchmark"), "doc_id", "item_id").select("doc_id", "item_id")
 
 
+def p8_kept(spark: SparkSession, d: str) -> DataFrame:
+    """Documents without any benchmark item, with their text; the others are removed."""
+    docs = table(spark, d, "documents")
+    keep = leaks.cleaned(docs, table(spark, d, "benchmark"), "doc_id", "item_id").where("keep").select("doc_id").distinct()
+    return docs.join(keep, "doc_id", "left_semi").select("doc_id", "text")
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that share a passage of at least 150 characters."""
     return spans.shared_windows(table(spark, d, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id")).distinct()
@@ -105,7 +112,7 @@ def p9_spans(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_spans(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p2_found, p2_scores, p2_rates, p3_found, p3_groups, p4_found, p4_redacted, p6_found, p6_seen, p7_ids, p8_found, p9_found, p9_spans)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p2_found, p2_scores, p2_rates, p3_found, p3_groups, p4_found, p4_redacted, p6_found, p6_seen, p7_ids, p8_found, p8_kept, p9_found, p9_spans)}
 _CODE = r"nullif(regexp_replace(upper(course_code), '[^\p{L}\p{N}]', '', 'g'), '')"
 _WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
 ORACLE = {

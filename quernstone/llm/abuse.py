@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quernstone.llm import abuse_model
 from quernstone.llm.lookalikes import fold_text
 
 # The lexicon, in natural order.
@@ -51,6 +52,11 @@ _squeeze = lambda w: re.sub(r"(.)\1+", r"\1", w)
 _SQUEEZED = {_squeeze(w): w for w in sorted(_FORMS, key=len, reverse=True)}
 #: Neighbouring letters swapped in a longer word.
 _SWAPPED = {w[:i] + w[i + 1] + w[i] + w[i + 2 :]: w for w in _FORMS if len(w) > 4 for i in range(len(w) - 1) if w[i] != w[i + 1]}
+#: Words that may stand beside another one by chance, so a cut between two of them is none.
+_ALONE = frozenset("a an as at be but co cow de dim dip dirt dog do ass bag head ball face wit fat go he half hag hit i id in is it jerk knuckle life loose lose low me meat no nut of on or out pig piece psych re rat scum she shit so son stain tan the to we who wit worth wreck".split())
+#: An insult of five letters and more cut in two, where a part is no word of its own.
+_CUT_ONCE = frozenset((w[:i], w[i:]) for n in INSULTS for w in (n, n + "s") if len(n) > 4 and n.isalpha() for i in range(2, len(w) - 1) if not (w[:i] in _ALONE and w[i:] in _ALONE) and w[i:] not in ("er", "s", "es"))
+_HEADS = frozenset(a for a, _ in _CUT_ONCE)
 ABC = "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -99,7 +105,7 @@ def options(ch: str) -> list[tuple[str, float]]:
     return out or [("", 3.0)]
 
 
-def decode(noisy: str, model: CharModel, beam: int = 24) -> tuple[str, float]:
+def decode(noisy: str, model: CharModel) -> tuple[str, float]:
     """The most likely reading of a disguised word, and its cost for each letter; in time linear in its length."""
     # context -> cost, letters as a chain of (the chain before, letter), their number
     best: dict[str, tuple] = {"  ": (0.0, None, 0)}
@@ -115,8 +121,7 @@ def decode(noisy: str, model: CharModel, beam: int = 24) -> tuple[str, float]:
                         then[context] = (cost + 0.2, chain, n)  # the repeated sign stands for one letter
                 elif context not in then or then[context][0] > cost + price:
                     then[context] = (cost + price, chain, n)
-        # Viterbi keeps one path for each context, and the cheapest contexts
-        best = then if len(then) <= beam else dict(sorted(then.items(), key=lambda x: x[1][0])[:beam])
+        best = then  # one path for each context, of at most 27 * 27
     context, (cost, chain, n) = min(best.items(), key=lambda x: x[1][0] + model.known[x[0] + " "])
     letters = []
     while chain:
@@ -203,7 +208,8 @@ class Restorer:
         if whole := self.split(decode(run, self.model)[0]):
             return whole
         out = []
-        for chunk in re.split(r"\s{2,}", run):
+        # signs between letters leave white space to part words; else only wider gaps do
+        for chunk in re.split(r"\s+" if re.search(r"[^\W_][.\-_*][^\W_]", run) else r"\s{2,}", run):
             word, cost = decode(chunk, self.model)
             out.append(self.split(word) or (word if cost < 2.4 else chunk))
         return " ".join(out)
@@ -224,6 +230,21 @@ class Restorer:
                 return f"{a} {b}"
         return None
 
+    @staticmethod
+    def joined(tokens: list[str]) -> list[str]:
+        """Tokens with the two parts of a word that was cut once put together."""
+        if _HEADS.isdisjoint(tokens):
+            return tokens
+        out = []
+        for t in tokens:
+            head = out[-1] if out else ""
+            end = t.rstrip(".,!?;:")
+            if (head, end) in _CUT_ONCE:
+                out[-1] = head + t
+            else:
+                out.append(t)
+        return out
+
     def text(self, text: str | None) -> str:
         """Lower-cased text as seen, disguises undone."""
         return self.read(text)[0]
@@ -235,7 +256,7 @@ class Restorer:
         low = fold_text(text).lower().replace("’", "'")
         if _spaced.search(low):
             low = _spaced.sub(self.spaced, low)
-        tokens, known = low.split(), self.known
+        tokens, known = self.joined(low.split()), self.known
         if len(known) > 1 << 18:
             known.clear()
             self.telling.clear()
@@ -268,7 +289,7 @@ RULES = [
     ("insult", 0.7, _c(rf"\b{_noun}\b")),
     ("insult", 0.9, _c(r"\b(?:you|u|they|he|she)(?:\sare|\sr|'re|\sis)\s(?:so\s|all\s|too\s|just\s)*(?:stupid|dumb|pathetic|worthless|disgusting|useless|brainless|ugly|vile|subhuman)\b")),
     ("insult", 0.9, _c(r"\bwaste of (?:air|space|oxygen|skin|breath|life)\b|\byou smell\b|ashamed of you\b|\bbrain of a\b|\bnobody (?:would|will) (?:ever )?miss you\b|\bshut (?:your|ur|the fuck) ?(?:mouth|trap|face|up)\b|\bgo (?:cry about it|to hell)\b|\beat (?:dirt|shit)\b|\bdelete (?:your|ur) account\b|\bnever speak to another\b|\b(?:fuck|screw) (?:you|off)\b|\bpit(?:y|ies) you\b|\bdrop dead\b|\bdo the world a favou?r\b|\blaughs? at you\b")),
-    ("threat", 0.95, _c(r"\b(?:kill|hang|shoot|hurt|drown) ?(?:yourself|urself)\b|\bkys\b|\b(?:go|hope you|should) (?:and )?die\b|\bi(?:'ll| will| am going to|'m going to| want to| would love to)(?: \w+){0,2} (?:kill|hurt|beat|stab|shoot|strangle|choke|punch|smash|hunt|bury|break|gut|burn) (?:you|your|him|her|them|his|every)\b")),
+    ("threat", 0.95, _c(r"\b(?:kill|hang|shoot|hurt|drown) ?(?:yourself|urself)\b|\bkys\b|\b(?:go|hope you|should) (?:and )?die\b|\bi(?:'ll| will| am going to|'m going to| want to| would love to)(?: \w+){0,2} (?:kill|murder|rape|hurt|beat|stab|shoot|strangle|choke|punch|smash|hunt|bury|break|gut|burn) (?:you|your|him|her|them|his|every)\b")),
     ("threat", 0.9, _c(r"\bbreak (?:\w+ ){0,2}(?:fingers?|bones?|legs?|arms?|necks?|knees?|jaw|teeth|skull)\b|\bgoing to hurt\b|\bwatch your back\b|\blook over (?:your|the|his|her|their) shoulder\b|\bsleep with (?:the lights on|one eye open)\b|\b(?:own|have|bring|bought) a (?:baseball bat|bat|gun|knife|rifle|shotgun|pistol|crowbar|hammer)\b|\bi (?:know|have|found) (?:where you|which \w+ (?:\w+ )?you|your (?:address|plate|license plate|home|house|number plate))\b|\b(?:you|they) will not walk out\b|\bknow where (?:you|he|she|they) lives?\b|\bwaiting (?:outside|for you)\b.{0,60}\b(?:hurt|regret|pay|sorry)\b|\bends? up in (?:a|an|the) (?:hospital|morgue|grave|ditch|ambulance|wheelchair|coma|body bag)\b|\b(?:find|burn|torch|visit|come to|wait at|show up at) (?:your|his|her|their) (?:house|home|place|door|car|office|family)\b|\benjoy (?:\w+ ){0,3}while (?:there is still time|you (?:still )?can|they (?:still )?can|it lasts)\b|\b(?:slit|cut) (?:your|his|her|their) throats?\b|\bput a bullet\b|\bmake (?:\w+ ){1,6}?(?:bleed|suffer|beg for)\b|\bmake (?:you|him|her|them) (?:pay|regret)\b|\byou (?:will|are going to|'ll) (?:bleed|suffer|regret)\b|\b(?:beg for mercy|dead (?:man|meat|woman))\b")),
     ("hate", 0.9, _c(rf"\b{_group}\b(?:\s(?:are|is|were|who|do|should|all|and|the|lot|of|them)|,)*\s(?:just\s|all\s|nothing\sbut\s)?(?:a\s|the\s)?(?:lower|lesser|inferior|subhuman|vermin|animals?|parasites?|savages?|filth|scum|trash|garbage|disease|plague|dirty|stupid|lazy|criminals?|thieves|rapists|born\sstupid|not\s(?:human|people)|cannot\sthink|can't\sthink|stink|smell|steal|ruin|(?:carry|spread)\s(?:diseases?|germs|lice))\b|\bno\s{_group}\s(?:in|on|near|allowed)\b")),
     ("hate", 0.9, _c(rf"\b{_group}\b(?:\s\w+){{0,3}}?\s(?:should|must|need\sto|ought\sto|deserve\sto)\sbe\s(?:\w+\s)?(?:sterilized|sterilised|deported|exterminated|eliminated|shot|killed|hanged|gassed|banned|thrown|kicked|locked|kept|removed|purged|caged|whipped|gone|sent)\b")),
@@ -401,6 +422,8 @@ def _signs() -> tuple[dict[str, int], dict[str, int], int]:
 
 
 _WORD_SIGNS, _PART_SIGNS, _ALWAYS = _signs()
+#: Beside the rules' bits: a word that the scorer wants to see.
+_TELLS = 1 << len(RULES)
 #: Further words of the rules, by their letters without repeats.
 _SOUGHT = {_squeeze(w): w for w in sorted(_WORD_SIGNS) if len(w) > 3 and w.isalpha()}
 _word_runs = re.compile(r"\w+").findall
@@ -409,9 +432,11 @@ _word_runs = re.compile(r"\w+").findall
 @lru_cache(1 << 16)
 def rules_of(token: str) -> int:
     """The rules, as bits, that have a sign in a restored token."""
-    bits = 0
+    bits, telling = 0, abuse_model.telling_words()
     for w in _word_runs(token):
         bits |= _WORD_SIGNS.get(w, 0)
+        if w in telling:
+            bits |= _TELLS
     for part, of in _PART_SIGNS.items():
         if part in token:
             bits |= of
@@ -422,32 +447,56 @@ _sentence = re.compile(r"(?<=[.!?…])\s+|\s+-\s+|\s{2,}")
 
 
 @lru_cache(1 << 12)
-def _chosen(rules: int) -> list[tuple[str, float, re.Pattern]]:
-    return [r for i, r in enumerate(RULES) if rules >> i & 1]
+def _chosen(rules: int) -> list[tuple[int, str, re.Pattern]]:
+    return [(i, r[0], r[2]) for i, r in enumerate(RULES) if rules >> i & 1]
 
 
-def score_text(restored: str, gate: bool = True) -> tuple[float, str | None]:
-    """(score 0..1, category) of restored text: independent signs add up, the strongest names it.
+def spoken_rules(sentence: str, gate: bool = True) -> list[tuple[int, bool, int, int]]:
+    """Rules that match a sentence, whether only in a report or of oneself, and where.
 
-    Without ``gate`` every rule is tried on every sentence, which gives the same.
+    Without ``gate`` every rule is tried, which gives the same.
     """
-    innocent, best, kind = 1.0, 0.0, None
-    for sentence in _sentence.split(restored):
-        rules = _ALWAYS if gate else -1
-        for t in sentence.split() if gate else ():
-            rules |= rules_of(t)
-        for category, weight, pattern in _chosen(rules):
-            for m in pattern.finditer(sentence):
-                before = sentence[max(0, m.start() - _REACH) : m.start()]
-                if category == "insult" and (_SELF.search(sentence[max(0, m.start() - 30) : m.end()].rsplit(" ", 1)[0]) or _REPORTED.search(sentence[max(0, m.start() - _REACH) : m.end()])):
-                    continue
-                if category != "insult" and _REPORTED.search(before):
-                    continue
-                innocent *= 1 - weight
-                if weight > best:
-                    best, kind = weight, category
+    rules = _ALWAYS if gate else -1
+    for t in sentence.split() if gate else ():
+        rules |= rules_of(t)
+    out = []
+    for i, category, pattern in _chosen(rules & (_TELLS - 1)):
+        held = None
+        for m in pattern.finditer(sentence):
+            before = sentence[max(0, m.start() - _REACH) : m.start()]
+            if category == "insult":
+                held = bool(_SELF.search(sentence[max(0, m.start() - 30) : m.end()].rsplit(" ", 1)[0]) or _REPORTED.search(sentence[max(0, m.start() - _REACH) : m.end()]))
+            else:
+                held = bool(_REPORTED.search(before))
+            if not held:
                 break
-    return round(1 - innocent, 6), kind
+        if held is not None:
+            out.append((i, held, *m.span()))
+    return out
+
+
+def score_text(restored: str, scorer: abuse_model.Scorer | None = None, gate: bool = True) -> tuple[float, str | None]:
+    """(score 0..1, category) of restored text: the score of its worst sentence, and what speaks most in it.
+
+    A sentence without a sign of a rule and without a telling word scores 0.0; ``gate`` as in spoken_rules.
+    """
+    scorer = scorer or abuse_model.scorer()
+    best, kind = 0.0, None
+    for sentence in _sentence.split(restored):
+        bits = 0
+        for t in sentence.split():
+            bits |= rules_of(t)
+        if not bits | _ALWAYS:
+            continue
+        spoken = spoken_rules(sentence, gate)
+        if not spoken and not bits & _TELLS:
+            continue
+        found = abuse_model.features(sentence, spoken)
+        score = scorer(found)
+        if score > best:
+            own = [RULES[i] for i, held, _, _ in spoken if not held]
+            best, kind = score, max(own, key=lambda r: r[1])[0] if own else abuse_model.kind_of(found)
+    return round(float(best), 6), kind
 
 
 def letter_counts(df: DataFrame, column: str) -> dict[str, int]:
@@ -480,16 +529,17 @@ def abuse_scores(df: DataFrame, key: str, column: str, keep: tuple[str, ...] = (
     Null and empty text score 0.0 with a null category. Repeated rows stay repeated;
     other columns are ignored.
     """
-    model = df.sparkSession.sparkContext.broadcast(letter_counts(df, column))
+    model = df.sparkSession.sparkContext.broadcast((letter_counts(df, column), abuse_model.scorer()))
     source = df.select(key, *keep, F.col(column).alias("__text"))
     names = [key, *keep]
     schema = ", ".join([f"`{n}` {source.schema[n].dataType.simpleString()}" for n in names] + ["score double", "category string"])
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        restorer = Restorer(CharModel(model.value))
+        counts, scorer = model.value
+        restorer = Restorer(CharModel(counts))
         for b in batches:
             out = b[names].copy()
-            scored = [score_text(low) if rules else (0.0, None) for low, rules in map(restorer.read, b["__text"])]
+            scored = [score_text(low, scorer) if rules else (0.0, None) for low, rules in map(restorer.read, b["__text"])]
             out["score"], out["category"] = [x for x, _ in scored], pd.Series([c for _, c in scored], dtype=object, index=out.index)
             yield out
 
@@ -497,7 +547,7 @@ def abuse_scores(df: DataFrame, key: str, column: str, keep: tuple[str, ...] = (
 
 
 #: A text is a case from here on.
-CASE = 0.65
+CASE = 0.5
 
 
 def post_scores(posts: DataFrame) -> DataFrame:

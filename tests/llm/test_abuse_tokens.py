@@ -45,3 +45,14 @@ def test_letters_of_whole_words_are_counted(spark):
     got = abuse.letter_counts(spark.createDataFrame([(word,)], "text string"), "text")
     want = Counter(abuse.trigrams(word))
     assert got == dict(want) and got["xyz"] == 1
+
+
+@pytest.mark.parametrize("text", ["y.o.u a.r.e a i.d.i.o.t", "you are a mo ron", "what an id iot!", "You are a ba stards"])
+def test_mixed_separators_and_words_cut_once(restorer, text):
+    low, rules = restorer.read(text)
+    assert rules and abuse.score_text(low)[0] >= abuse.CASE
+
+
+@pytest.mark.parametrize("text", ["who re did the exam", "we go at it", "my lo gin failed", "a low life insurance fee"])
+def test_words_that_are_not_cut(restorer, text):
+    assert restorer.text(text) == text

@@ -65,7 +65,7 @@ def components(edges: DataFrame, nodes: DataFrame | None = None, small_edges: in
     """(node, label) for edges (a, b) and further single ``nodes`` (node): equal labels are connected.
 
     Loops and repeated edges change nothing; null ends are ignored; without edges each node
-    is its own component. The label is a node of the component.
+    is its own component. The label is the least node of the component, whatever ``small_edges``.
     """
     edges = edges.where("a IS NOT NULL AND b IS NOT NULL").selectExpr("CAST(a AS string) AS a", "CAST(b AS string) AS b")
     adjacency, heavy = _adjacency(edges)
@@ -93,10 +93,15 @@ def components(edges: DataFrame, nodes: DataFrame | None = None, small_edges: in
     met = met.withColumn("salt", F.when(F.col("node").isin(heavy), F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0)) if heavy else F.lit(0))
     collisions = cut_lineage(met.join(_salted(labels, "node", heavy).withColumnRenamed("label", "b"), ["node", "salt"]).where("a < b").select("a", "b").distinct())
     n = collisions.count()
+    # labels are few beside the nodes: each gets the least node of its component, however its label was merged
+    least = labels.groupBy("label").agg(F.min("node").alias("least"))
     if n:
         merged = _small_merge(collisions) if n <= small_edges else components(collisions, None, small_edges)
         merged = cut_lineage(merged.select(F.col("node").alias("label"), F.col("label").alias("root")))
-        labels = labels.join(merged, "label", "left").select("node", F.coalesce("root", "label").alias("label"))
+        roots = cut_lineage(least.join(merged, "label", "left").select("label", F.coalesce("root", "label").alias("root"), "least"))
+        least = roots.join(roots.groupBy("root").agg(F.min("least").alias("first")), "root").select("label", F.col("first").alias("least"))
+    # both sides are stored, so a hub's label is split at run time
+    labels = cut_lineage(labels).join(cut_lineage(least), "label").select("node", F.col("least").alias("label"))
     if nodes is not None:
         alone = nodes.where("node IS NOT NULL").select(F.col("node").cast("string").alias("node")).distinct().join(labels, "node", "left_anti")
         labels = labels.unionByName(alone.select("node", F.col("node").alias("label")))
@@ -119,7 +124,9 @@ def record_keys(records: DataFrame, posts: DataFrame) -> DataFrame:
         .groupBy("__p")
         .agg(F.sort_array(F.collect_set("__u")).alias("user_keys"))
     )
-    return keyed.join(authors, F.col("post_key") == F.col("__p"), "left").drop("__p").withColumn("user_keys", F.coalesce("user_keys", F.array().cast("array<string>")))
+    none = F.array().cast("array<string>")
+    found = keyed.where("post_key IS NOT NULL").join(authors, F.col("post_key") == F.col("__p"), "left").drop("__p").withColumn("user_keys", F.coalesce("user_keys", none))
+    return found.unionByName(keyed.where("post_key IS NULL").withColumn("user_keys", none))  # null keys would meet in one task
 
 
 def _node(kind: str, value: Column) -> Column:
@@ -128,11 +135,23 @@ def _node(kind: str, value: Column) -> Column:
 
 def key_components(keyed: DataFrame) -> DataFrame:
     """(node, label) of all keys of records as record_keys gives them."""
-    post, course = _node("post_id", F.col("post_key")), _node("course_code", F.col("course_key"))
-    first = F.coalesce(post, course)
+    course = _node("course_code", F.col("course_key"))
     links = F.concat(F.array(course), F.transform("user_keys", lambda u: _node("username", u)))
-    pairs = keyed.select(first.alias("a"), F.explode(F.filter(links, lambda x: x.isNotNull())).alias("b")).distinct()
-    return components(pairs, keyed.select(first.alias("node")))
+    pairs = keyed.select(_first_node().alias("a"), F.explode(F.filter(links, lambda x: x.isNotNull())).alias("b")).distinct()
+    return components(pairs, keyed.select(_first_node().alias("node")))
+
+
+def _first_node() -> Column:
+    """The post of a record, else its course; null where it has neither."""
+    return F.coalesce(_node("post_id", F.col("post_key")), _node("course_code", F.col("course_key")))
+
+
+def _with_component(keyed: DataFrame) -> DataFrame:
+    """Adds component: the least key of the record's component, null for records without keys."""
+    labels = key_components(keyed).select(F.col("node").alias("__node"), F.col("label").alias("component"))
+    named = keyed.withColumn("__node", _first_node())
+    found = named.where("__node IS NOT NULL").join(labels, "__node").drop("__node")
+    return found.unionByName(named.where("__node IS NULL").drop("__node").withColumn("component", F.lit(None).cast("string")))
 
 
 def linked_splits(records: DataFrame, posts: DataFrame, parts: tuple = PARTS) -> DataFrame:
@@ -145,14 +164,12 @@ def linked_splits(records: DataFrame, posts: DataFrame, parts: tuple = PARTS) ->
     """
     records = records.drop("component", "new_split")
     keyed = cut_lineage(record_keys(records, posts))
-    node = F.coalesce(_node("post_id", F.col("post_key")), _node("course_code", F.col("course_key")))
-    labels = key_components(keyed)
-    every = keyed.withColumn("__node", node).join(labels.select(F.col("node").alias("__node"), F.col("label").alias("__label")), "__node", "left")
-    own = F.concat(F.lit("record:"), F.md5(F.to_json(F.struct(*[F.col(c) for c in records.columns]))))
-    every = every.withColumn("component", F.coalesce("__label", own)).drop("__label", "__node")
-    sizes = every.groupBy("component").agg(F.count(F.lit(1)).alias("size")).withColumn("h", F.xxhash64("component"))
+    own = F.concat(F.lit("record:"), F.md5(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in records.columns])))
+    every = _with_component(keyed).withColumn("component", F.coalesce("component", own))
+    h = F.conv(F.substring(F.md5("component"), 1, 15), 16, 10).cast("bigint")
+    sizes = every.groupBy("component").agg(F.count(F.lit(1)).alias("size")).withColumn("h", h)
     # running totals: by 4096 ranges of the hash first, then within a range
-    sizes = sizes.withColumn("range", F.shiftright("h", 52))
+    sizes = sizes.withColumn("range", F.shiftright("h", 48))
     ranges = sizes.groupBy("range").agg(F.sum("size").alias("held"))
     before = ranges.withColumn("before", F.sum("held").over(Window.orderBy("range")) - F.col("held")).withColumn("total", F.sum("held").over(Window.partitionBy()))
     placed = sizes.join(F.broadcast(before), "range")
@@ -172,24 +189,23 @@ def linked_splits(records: DataFrame, posts: DataFrame, parts: tuple = PARTS) ->
 def leaking_keys(records: DataFrame, posts: DataFrame) -> DataFrame:
     """(key_kind, key_value): keys whose records stand in more than one declared split.
 
-    Components whose records hold several splits are the candidates; within them each
-    key's records are checked. Splits compare trimmed and upper-cased, blank ones are ignored.
+    Only components whose records hold several splits can have such a key, so the others' records
+    are set aside; of the rest each key's records are checked. Splits compare trimmed and
+    upper-cased, blank ones are ignored.
     """
-    keyed = cut_lineage(record_keys(records, posts))
-    labels = key_components(keyed)
     split = F.upper(F.trim("split"))
+    placed = cut_lineage(_with_component(cut_lineage(record_keys(records, posts))).where("component IS NOT NULL").withColumn("split", split).where("split <> ''"))
+    mixed = cut_lineage(placed.groupBy("component").agg(F.min("split").alias("lo"), F.max("split").alias("hi")).where("lo <> hi").select("component"))
     kinds = F.concat(
         F.array(F.struct(F.lit("post_id").alias("kind"), F.col("post_key").alias("value")), F.struct(F.lit("course_code").alias("kind"), F.col("course_key").alias("value"))),
         F.transform("user_keys", lambda u: F.struct(F.lit("username").alias("kind"), u.alias("value"))),
     )
-    seen = (
-        keyed.select(split.alias("split"), F.explode(kinds).alias("key"))
-        .where("split <> '' AND key.value IS NOT NULL")
+    return (
+        placed.join(mixed, "component", "left_semi")
+        .select("split", F.explode(kinds).alias("key"))
+        .where("key.value IS NOT NULL")
         .groupBy(F.col("key.kind").alias("key_kind"), F.col("key.value").alias("key_value"))
         .agg(F.min("split").alias("lo"), F.max("split").alias("hi"))
+        .where("lo <> hi")
+        .select("key_kind", "key_value")
     )
-    located = seen.withColumn("node", F.concat("key_kind", F.lit(":"), "key_value")).join(labels, "node")
-    mixed = located.groupBy("label").agg(F.min("lo").alias("least"), F.max("hi").alias("most")).where("least <> most")
-    mixed = mixed.select("label", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    spread = located.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
-    return spread.join(mixed, ["label", "salt"], "left_semi").where("lo <> hi").select("key_kind", "key_value")

@@ -46,7 +46,7 @@ _TITLES = frozenset("mr mrs ms miss dr prof professor sir madam herr frau señor
 
 CUES = {
     "phone": r"\b(?:call|callback|cell|mobile|phone|tel|telephone|text|texts|sms|whatsapp|voicemail|ring|reach|dial|fax|contact|signal|number so|hotline|line is)\b",
-    "id": r"\b(?:ssn|social|social security|passport|licen[cs]e|licen[cs]e no|student id|student number|student no|id card|national id|tax id|identity|matriculation|badge|id)\b",
+    "id": r"\b(?:ssn|social|social security|passport|licen[cs]e|licen[cs]e no|student id|student number|student no|id card|national id|tax id|identity|matriculation|badge|ni number|insurance|dni|ausweis|id)\b",
     "code": r"\b(?:order|ticket|queue|position|version|error|port|isbn|build|invoice|tracking|costs?|price|score[d]?|line|item|page|question|chapter|case|edition|release|commit|seed|key|address|ip|points?|between|since|hours|minutes|\$|euro|room|part|model|serial|reference|ref|receipt|batch)\b",
     "place": r"\b(?:live|lives|living|at|address|ship|shipped|mail|mailed|mailing|moved?|from|to|label|reads|deliver|delivered|meets?|residence|home|house|located|visit)\b",
     "person": r"\b(?:tutor|mentor|evaluator|instructor|professor|proctor|advisor|manager|grader|teacher|roommate|classmate|friend|sister|brother|cousin|colleague|signed|regards|cheers|sincerely|dear|hi|hello|hey|thanks|cc|ask|asked|told|by|from|student|with|name|named|called|contact|until|for|to|if|and|then|had|initials|attn|is|met|emailed|graded|shout-?out)\b",
@@ -84,13 +84,17 @@ _WORD = r"[^\W\d_]+"
 _CAP = r"[^\W\d_a-z][^\W\d_]*(?:['’-][^\W\d_a-z][^\W\d_]*)*"
 _SIGN, _SAID = r"\s?(?:@|\(at\)|\[at\]|\{at\})\s?", r"\sat\s"
 _POINT, _TOLD = r"(?:\.|\s?\(dot\)\s?|\s?\[dot\]\s?|\s?\{dot\}\s?|\sdot\s)", r"(?:\s?\(dot\)\s?|\s?\[dot\]\s?|\s?\{dot\}\s?|\sdot\s)"
-_USER = r"(?<![\w.+@-])[a-z0-9][a-z0-9._%+-]*"
-_HOST = lambda dot: rf"[a-z0-9-]+(?:{dot}[a-z0-9-]+){{0,3}}?{dot}[a-z]{{2,12}}(?![\w@])"
+_USER = r"(?<![\w.+@-])[^\W_][\w.%+-]*"
+_HOST = lambda dot: rf"[^\W_][\w-]*(?:{dot}[\w-]+){{0,3}}?{dot}[^\W\d_]{{2,12}}(?![\w@])"
 #: Signs go with any kind of dot; a spoken "at" needs a spoken "dot".
 _EMAIL = re.compile(rf"{_USER}(?:{_SIGN}{_HOST(_POINT)}|{_SAID}{_HOST(_TOLD)})")
 _DIGITS = re.compile(rf"(?<![\w.])(?:\+|\()?(?:\d|[A-Za-z]{{1,2}}(?=\d{{4}}|\d{{3}}-))(?:[\s().\-/]{{0,2}}(?:\d|\b(?:{_NUMBER_WORDS})\b)){{5,17}}(?:-?[A-Za-z])?(?:\s?(?:ext|x)\.?\s?\d{{1,5}})?(?![\w@])", re.I)
+_LETTERED = re.compile(r"(?<![\w.])[A-Z]{2}(?:\s?\d\d){3}\s?[A-D](?!\w)", re.I)
 _PLACE_A = re.compile(rf"(?<![\w.])(?:(?:unit|apt|flat|suite)\s\w{{1,5}},\s)?\d{{1,5}}[a-z]?\s(?:[nsew]\.?\s)?(?:{_WORD}\s){{1,3}}?{STREET}\b\.?(?:,?\s(?:apt|apartment|unit|suite|flat|\#)\.?\s?\w{{1,5}})?(?:(?:,\s?|\sin\s|\n){_WORD})?(?:\s\d{{4,5}})?", re.I)
 _PLACE_B = re.compile(rf"(?<![\w])[^\W\d_]{{3,}}(?:stra(?:ss|ß)e|str\.|gasse|weg|platz|allee)\s\d{{1,4}}[a-z]?\b(?:(?:,\s?|\sin\s|\n){_WORD})?(?:\s\d{{4,5}})?", re.I)
+#: Street first, its kind before its name; boxes of a post office.
+_PLACE_C = re.compile(rf"(?<![\w])(?:(?:\d{{1,4}}[a-z]?,?\s)?(?:rue|calle|avenida|avda|(?-i:Via|VIA)|viale|plaza|piazza|camino|paseo|carrer|rua|allée|quai|impasse)\.?\s(?:(?:de|del|della|des|du|la|las|los|el|le|les|di|da|do)\s){{0,2}}{_WORD}(?:\s{_WORD})?(?:,?\s(?:n[.º°]?\s?)?\d{{1,4}}[a-z]?\b)?|p\.?\s?o\.?\s?box\s\d{{1,6}})(?:,\s?{_WORD})?(?:\s\d{{4,5}})?", re.I)
+_HINT_FOREIGN = re.compile(r"\b(?:rue|calle|avenida|avda|(?-i:Via|VIA)|viale|plaza|piazza|camino|paseo|carrer|rua|allée|quai|impasse|box)\b")
 _TITLED = re.compile(rf"(?<![\w;])(?:(?:[Mm]rs?|MRS?|[Mm]s|MS|[Dd]r|DR|[Pp]rof|PROF|[Pp]rofessor|Rev|Mme|Frau|Herr)\.?|Miss|Sir|Señora?)\s({_WORD})(?:\s({_WORD}))?")
 _CAPS = re.compile(rf"(?<![\w@./+-]){_CAP}(?:(?:,\s|\s(?:[^\W\d_a-z]\.\s)?){_CAP}){{0,2}}(?![\w@])")
 _CAPITAL, _NEXT = re.compile(_CAP), re.compile(rf"\s({_CAP})(?![\w@])")
@@ -149,7 +153,7 @@ def _number_features(text: str, low: str, a: int, b: int) -> list[int]:
     shape = re.sub(r"\d", "9", core)
     plain = shape.replace("(", "").replace(")", "").replace(".", "-").replace(" ", "-").strip("-+")
     return [
-        digits == 7, digits == 8, digits == 9, digits == 10, digits in (11, 12), digits > 12, digits < 7,
+        bool(re.fullmatch(r"[a-z]{2}(?: ?99){3} ?[a-z]", shape)), digits == 12, digits == 7, digits == 8, digits == 9, digits == 10, digits in (11, 12), digits > 12, digits < 7,
         plain.endswith("999-999-9999"), plain == "999-99-9999", core.isdigit(), core.startswith("+"), "(" in core,
         core.startswith("1-") or core.startswith("1 "), bool(re.search("[a-z]", re.sub(_NUMBER_WORDS, "", core))), words > 0,
         bool(re.fullmatch(r"(?:\d ){6,}\d", core)), bool(re.search(r"(?:ext|x)\.?\s?\d+$", s)), bool(re.fullmatch(r"(?:19|20)\d\d[-./]\d\d?[-./]\d\d?", core)),
@@ -159,13 +163,13 @@ def _number_features(text: str, low: str, a: int, b: int) -> list[int]:
     ]
 
 
-def _place_features(text: str, low: str, a: int, b: int, foreign: bool) -> list[int]:
+def _place_features(text: str, low: str, a: int, b: int, form: int) -> list[int]:
     s, left, right = low[a:b], low[max(0, a - 30) : a], low[b : b + 16]
     words = re.findall(_WORD, s)
     between = [w for w in words if not re.fullmatch(STREET, w)]
     caps = [w for w in re.findall(_WORD, text[a:b]) if w[:1].isupper()]
     return [
-        foreign, bool(re.match(r"(?:unit|apt|flat|suite)", s)), bool(re.search(r"\b(?:apt|apartment|suite)\b", s)), len(caps) >= 2, len(caps) == 1, not caps,
+        form == 1, form == 2, "box" in words, bool(re.match(r"(?:unit|apt|flat|suite)", s)), bool(re.search(r"\b(?:apt|apartment|suite)\b", s)), len(caps) >= 2, len(caps) == 1, not caps,
         any(w in _COMMON for w in between), len(between) == 1, len(between) == 2, len(between) > 2, bool(re.search(r"^\d{3,}", s)), bool(re.search(r"^\d{1,2}\s", s)),
         bool(_CUE["place"].search(left)), bool(_CUE["code"].search(left[-14:])), "," in s, bool(re.search(r"\sin\s", s)), bool(re.search(r"\d{5}$", s)),
         bool(re.match(r"\s(?:page|case|on page|reading|chapter)", right)), bool(re.search(r"\b(?:way|court|place|row|close|walk|drive|square|circle|loop|trail)\b", s)), bool(re.search(r"\b(?:pages?|questions?|hours|minutes|days|links|points|items?|weeks|times|views|credits)\b", s)),
@@ -215,9 +219,12 @@ def candidates(text: str) -> list[Span]:
                 b -= 1
             f = _number_features(text, low, a, b)
             out += [Span("phone", a, b, f), Span("id_number", a, b, f)]
-    for foreign, pattern, likely in ((False, _PLACE_A, not _ROADS.isdisjoint(words_in)), (True, _PLACE_B, _HINT_PLACE.search(low))):
+    for m in _LETTERED.finditer(text) if any(map(str.isdigit, low)) else ():
+        out.append(Span("id_number", *m.span(), _number_features(text, low, *m.span())))
+    for form, pattern, likely in ((0, _PLACE_A, not _ROADS.isdisjoint(words_in)), (1, _PLACE_B, _HINT_PLACE.search(low)), (2, _PLACE_C, _HINT_FOREIGN.search(low))):
         for m in pattern.finditer(text) if likely else ():
-            out.append(Span("address", *m.span(), _place_features(text, low, *m.span(), foreign)))
+            if form < 2 or any(map(str.isdigit, m[0])):
+                out.append(Span("address", *m.span(), _place_features(text, low, *m.span(), form)))
     seen, plain = set(), set(_words(text))  # with their case: whether a word stands in lower case too
 
     def add(a: int, b: int, kind: int) -> None:
@@ -267,7 +274,7 @@ def candidates(text: str) -> list[Span]:
         if m[1] not in _COMMON and m[1] not in _SAYS:
             add(*m.span(1), 4)
     links = [m.span() for m in _LINK.finditer(text)] if "/" in text or "www" in low else []
-    return [c for c in out if not any(x <= c.start < y for x, y in links)]
+    return [c for c in out if c.kind == "email" or not any(x <= c.start < y for x, y in links)]  # an address is one in a link too
 
 
 # ------------------------------------------------------------------ sentences made for training
@@ -296,6 +303,8 @@ def _sentences(rng: random.Random, n: int) -> Iterator[tuple[str, list[tuple[str
 
     def email() -> str:
         user = pick([made(), f"{pick(names)}.{made()}", f"{pick(names)}_{made()}{digits(2)}", f"{pick(names)}+{made()}"])
+        if rng.random() < 0.06:
+            user = user.replace("o", pick("öóø")).replace("a", pick("äáå"))
         host, end = made() + pick(["", "-mail", "box"]), pick(["com", "org", "net", "example", "edu", "io"])
         return pick([user.lower(), user.upper()] if rng.random() < 0.2 else [user]) + pick(["@", "@", "@", " @ ", " (at) ", "[at]", " at "]) + host + pick([".", ".", " (dot) ", " dot "]) + end
 
@@ -306,7 +315,7 @@ def _sentences(rng: random.Random, n: int) -> Iterator[tuple[str, list[tuple[str
 
     def number() -> tuple[str, str]:
         return pick(
-            [("SSN", f"{digits(3)}-{digits(2)}-{digits(4)}"), ("social security number", f"{digits(3)} {digits(2)} {digits(4)}"), ("social is", digits(9)), ("student ID", digits(9)), ("student ID", digits(8)), ("student number", f"{pick('SXAB')}{digits(6)}-{pick('ABX')}"), ("passport no.", f"{pick('XCLA')}{digits(7)}"), ("passport", digits(9)), ("driver license", f"{pick('DSBW')}{digits(3)}-{digits(4)}-{digits(4)}"), ("driver's licence", f"{pick('DSBW')}{digits(7)}"), ("national ID", digits(10))]
+            [("SSN", f"{digits(3)}-{digits(2)}-{digits(4)}"), ("social security number", f"{digits(3)} {digits(2)} {digits(4)}"), ("social is", digits(9)), ("student ID", digits(9)), ("student ID", digits(8)), ("student number", f"{pick('SXAB')}{digits(6)}-{pick('ABX')}"), ("passport no.", f"{pick('XCLA')}{digits(7)}"), ("passport", digits(9)), ("driver license", f"{pick('DSBW')}{digits(3)}-{digits(4)}-{digits(4)}"), ("driver's licence", f"{pick('DSBW')}{digits(7)}"), ("national ID", digits(10)), ("national ID", f"{digits(4)} {digits(4)} {digits(4)}"), ("national id card", digits(12)), ("NI number", f"{pick('QATJ')}{pick('QBCM')} {digits(2)} {digits(2)} {digits(2)} {pick('ABCD')}")]
         )
 
     def place() -> str:
@@ -314,6 +323,9 @@ def _sentences(rng: random.Random, n: int) -> Iterator[tuple[str, list[tuple[str
         town = made().capitalize()
         if rng.random() < 0.15:
             return f"{road}{pick(['strasse', 'weg', 'platz'])} {digits(2)}" + pick(["", f", {town}"])
+        if rng.random() < 0.12:
+            kind = pick(["Rue", "Calle", "Via", "Plaza", "Avenida", "Rua", "Carrer"])
+            return pick([f"{rng.randint(1, 90)} {kind} {pick(['', 'de ', 'du ', 'de la '])}{road}", f"{kind} {pick(['', 'de ', 'del ', 'de la '])}{road} {rng.randint(1, 300)}", f"PO Box {rng.randint(1, 9999)}", f"P.O. Box {rng.randint(1, 9999)}"]) + pick(["", f", {town}"])
         line = f"{rng.randint(1, 5000)} {pick(['', '', 'N ', 'W '])}{road} {end}" + pick(["", "", f", Apt {digits(2)}B", f", {town}", f", {town}", f"\n{town} {digits(5)}", f" in {town}"])
         line = pick(["", "", "", f"Unit {digits(2)}, "]) + line
         return pick([line] * 5 + [line.lower(), line.upper()])

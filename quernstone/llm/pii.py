@@ -24,7 +24,7 @@ from quernstone.llm.lookalikes import mapping
 
 TYPES = ("email", "phone", "id_number", "address", "name")
 #: Sentences made for training; a fifth as many more calibrate the thresholds.
-TRAIN_SENTENCES = 9000
+TRAIN_SENTENCES = 14000
 
 # Common given names of many languages.
 GIVEN = frozenset(
@@ -336,7 +336,7 @@ def _sentences(rng: random.Random, n: int) -> Iterator[tuple[str, list[tuple[str
         lambda: f"Error 0x{digits(6)} at line {digits(3)}.", lambda: f"It listens at {digits(2)}.{digits(1)}.{digits(1)}.{digits(2)} port {digits(4)}.", lambda: f"Since 20{digits(2)}-0{rng.randint(1, 9)}-{rng.randint(10, 28)} it is down.", lambda: f"It costs {digits(3)}.{digits(2)} in all.", lambda: f"The key has {digits(4)} entries.",
         lambda: f"ISBN {digits(3)}-{digits(1)}-{digits(2)}-{digits(6)} is wrong.", lambda: f"Tracking number {digits(12)} shows nothing.", lambda: f"Invoice {digits(8)} was paid.", lambda: f"Build {digits(7)} crashes.", lambda: f"I got {digits(3)} out of {digits(4)} on {digits(2)} items.",
         lambda: f"The {made().capitalize()} {pick(['Lane', 'Hall', 'Court', 'Street'])} case on page {digits(3)} is long.", lambda: f"We met in {made().capitalize()} {pick(['Hall', 'Wing', 'Library', 'Center'])} on Monday.", lambda: f"Chapter {digits(1)}, {pick(['Street', 'Court', 'Road'])} {pick(['Level', 'Art', 'Rules'])} {pick(['Networks', 'History'])}, is dull.", lambda: f"The {pick(['Supreme Court', 'Court of Appeals', 'Bill of Rights', 'Act'])} reading has {digits(3)} pages.",
-        lambda: f"On {pick(['Friday', 'Sunday', 'Tuesday'])} I studied {digits(2)} pages on the way to class.", lambda: f"{pick(['Principles', 'Foundations', 'Practice'])} of {pick(['Data', 'Risk', 'Team'])} {pick(['Systems', 'Budgets', 'Registers'])} is hard.", lambda: f"The {pick(['Windows', 'Python', 'Excel', 'Canvas', 'English', 'German'])} guide is short.", lambda: f"I drove {digits(2)} miles down the road to the test center.", lambda: f"It took {digits(2)} hours to find a way around the drive.",
+        lambda: f"On {pick(['Friday', 'Sunday', 'Tuesday'])} I studied {digits(2)} pages on the way to class.", lambda: f"{pick(['Principles', 'Foundations', 'Practice'])} of {pick(['Data', 'Risk', 'Team'])} {pick(['Systems', 'Budgets', 'Registers'])} is hard.", lambda: f"The {pick(['Windows', 'Python', 'Excel', 'Canvas', 'English', 'German'])} guide is short.", lambda: f"I drove {digits(2)} miles down the road to the test center.", lambda: pick([f"It goes via {made().capitalize()} {rng.randint(1, 90)} times a day.", f"The box {rng.randint(1, 900)} holds the {pick(['plaza', 'via', 'rue'])} map.", f"I came via {ordinary()} {rng.randint(1, 40)}."]), lambda: f"It took {digits(2)} hours to find a way around the drive.",
         lambda: f"EVERYONE KNOWS {pick(['THE RUBRIC', 'THIS COURSE', 'THE EXAM'])} IS BROKEN.", lambda: "The symbol in name@ breaks the parser.", lambda: "look at the dot at the end of the line.", lambda: f"See https://{made()}.example/t/{made()} for it.", lambda: f"Question {digits(2)} on the lab treats {pick(['recursion', 'labor law'])} badly.", lambda: f"Has {pick(['anyone', 'someone'])} passed {pick('QVNK')}{digits(3)} by reading {made().capitalize()} {pick(['Press', 'Hall'])} notes?",
         lambda: f"{ordinary()} {pick(['is slow', 'was late', 'never works', 'told us to wait', 'said it was fine', 'and labs took days', 'for that took weeks', 'of the guide failed', 'the guide took days', 'about it was wrong', 'never answered', 'asked for more', 'on the portal broke', 'it again did nothing', 'should be easy'])}.", lambda: f"{ordinary()}: {ordinary()}", lambda: f"{ordinary()} today I {pick(['took', 'saw', 'failed'])} it.", lambda: f"so {pick(['leave', 'stop', 'read it'])}, {ordinary().upper()}, {pick(['all of you', 'you see', 'and think'])}.", lambda: f"the {pick(['stupid', 'long', 'worst'])} {ordinary().upper()}, it {pick(['failed', 'is late'])}.", lambda: f"{pick(['WRITE', 'SEND', 'SHOW', 'GIVE'])} ME {ordinary()} FOR {ordinary()} {ordinary()}!".upper(), lambda: f"It failed.\n{ordinary()}\nIt is late.", lambda: f"{ordinary()} {ordinary().lower()} {pick(['takes days', 'failed', 'was late'])}.",
         lambda: f"{ordinary()} {pick(['a', 'the', 'my', 'this', 'to', 'in', 'at', 'I', 'we', 'you'])} {ordinary().lower()} {pick(['takes days', 'failed', 'was late'])}.", lambda: f"my {pick(['tutor', 'mentor', 'grader', 'teacher'])} {pick(['also', 'wants', 'keeps', 'left', 'posts', 'group', 'support', 'thinks', 'ignored', 'feedback', 'changed', 'training'])} {pick(['again', 'it', 'more', 'late'])}.", lambda: f"{ordinary()} {ordinary().lower()} {pick(['takes days', 'failed', 'was late'])}.".upper(), lambda: f"I SAID {ordinary()} {pick(['takes days', 'failed', 'told me', 'was late'])} AND {ordinary()} TOO.".upper(), lambda: f"The {pick(['PDF', 'GPA', 'FAFSA', 'HTML', 'SQL', 'NCLEX', 'RN', 'IT'])} {pick(['file', 'part', 'exam'])} is {pick(['long', 'late'])}.",
@@ -350,7 +350,7 @@ def _sentences(rng: random.Random, n: int) -> Iterator[tuple[str, list[tuple[str
         known = [
                 (f"{only} {pick(['never answered', 'told us to wait', 'said no', 'replied late', 'graded it', 'promised a retake', 'asked for more', 'hung up', 'emailed me back'])}.", [("name", only)]), (f"{pick(['It failed.', 'We waited.', 'Nobody helped.'])} {only} {pick(['told us to wait', 'said no', 'never replied', 'wrote back'])}.", [("name", only)]), (f"{pick(['Tutor', 'Mentor', 'Grader', 'Name', 'Instructor', 'Signed'])}: {only}", [("name", only)]), (f"{pick(['thank you for your help.', 'Any advice is welcome.', 'Thanks,', 'Best,'])}\n{only}", [("name", only)]), (f"MY {pick(['TUTOR', 'MENTOR', 'GRADER'])} {only.upper()} {pick(['NEVER ANSWERED', 'TOLD US TO WAIT', 'SAID NO'])}.", [("name", only.upper())]), (f"my {pick(['tutor', 'mentor', 'grader', 'teacher'])} {only.lower()} {pick(['never answered', 'told us to wait', 'said no', 'was late'])}.", [("name", only.lower())]),
                 (f"{p} {verb} that it was fine.", [("name", p)]), (f"{pick(['Usually', 'Then', 'Yesterday', 'If', 'Since Monday', 'Ironically', 'until', 'After work'])} {p} {verb} {pick(['to try again', 'one thing', 'a reason', 'us an index'])}.", [("name", p)]), (f"My {role} {p} never answered.", [("name", p)]), (f"I was told by {p} that it changed.", [("name", p)]),
-                (f"{pick(['Signed', 'Regards', 'Cheers', 'Thanks', 'Best'])}, {p}", [("name", p)]), (f"{pick(['Shout-out to', 'Thanks to', 'I asked', 'We waited for', 'A note from', 'Ask', 'Has anyone had'])} {p} {pick(['for a retake', 'about it', 'for calling back', 'as a mentor', 'and got links', 'lately'])}.", [("name", p)]), (f"{p} and {person()} are out.", [("name", p)]), (f"Initials were for {p}", [("name", p)]), (f"{p} graded my paper.", [("name", p)]), (f"{p} / {e} / {t}", [("name", p), ("email", e), ("phone", t)]), (f"Cc {p} <{e}>", [("name", p), ("email", e)]), (f"Ask {p} ({e}) about it.", [("name", p), ("email", e)]), (f"{p}, {t}", [("name", p), ("phone", t)]), (f"Student: {p}, {label} {no}, mailing to {a}.", [("name", p), ("id_number", no), ("address", a)]), (f"Ship it to {p}, {a}", [("name", p), ("address", a)]),
+                (f"{pick(['Signed', 'Regards', 'Cheers', 'Thanks', 'Best'])}, {p}", [("name", p)]), (f"{pick(['Shout-out to', 'Thanks to', 'I asked', 'We waited for', 'A note from', 'Ask', 'Has anyone had'])} {p} {pick(['for a retake', 'about it', 'for calling back', 'as a mentor', 'and got links', 'lately'])}.", [("name", p)]), (f"{p} and {person()} are out.", [("name", p)]), (f"Initials were for {p}", [("name", p)]), (f"{p} graded my paper.", [("name", p)]), (f"{p} taught us {pick(['last term', 'twice', 'well'])}.", [("name", p)]), (f"Ask {pick(['our', 'the'])} {role} {p} for it.", [("name", p)]),  (f"{p} / {e} / {t}", [("name", p), ("email", e), ("phone", t)]), (f"Cc {p} <{e}>", [("name", p), ("email", e)]), (f"Ask {p} ({e}) about it.", [("name", p), ("email", e)]), (f"{p}, {t}", [("name", p), ("phone", t)]), (f"Student: {p}, {label} {no}, mailing to {a}.", [("name", p), ("id_number", no), ("address", a)]), (f"Ship it to {p}, {a}", [("name", p), ("address", a)]),
                 (f"{pick(['Write to', 'Contact:', 'You can reach me at', 'My mail is', 'Send it to', 'It came from', 'Contact ->', 'The page shows', 'Old login was'])} {e}{pick(['.', ' please', ', thanks', ' with my grade', ''])}", [("email", e)]),
                 (f"{pick(['Call me at', 'My cell is', 'Text me,', 'WhatsApp', 'Voicemail says', 'I left', 'Reach me on', 'Anyone nearby?', 'They wanted a number so I gave', 'Phone:'])} {t}{pick(['', ' if you like.', ', after six.', ' is not on file.', ' twice.', ' in the message.'])}", [("phone", t)]), (f"{a} ({t}), ring twice", [("phone", t), ("address", a)]),
                 (f"{pick(['Support asked me to post', 'For the record,', 'The form printed my', 'Mix-up:', 'They want my', 'I held up a card with', 'my'])} {label} {no}{pick(['', ' for verification.', ', in case staff read this.', ' on camera.', ' is mine.', ' on the page.'])}", [("id_number", no)]),

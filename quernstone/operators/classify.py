@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import threading
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -44,20 +45,64 @@ class ReplayClient:
         return self.answers[prompt]
 
 
-def call_with_retry(client: Client, prompt: str, retries: int = 2, wait: Callable[[float], None] = time.sleep) -> tuple[str, bool, int, str]:
-    """(answer, failed, retries, message): waits 1, 2, 4 … seconds between attempts; never raises."""
+def client_of(kind: str, makers: dict[str, Callable[[], Client]]) -> Client:
+    """The client of a provider; an unknown provider raises."""
+    if kind not in makers:
+        raise ValueError(f"unknown provider {kind}, known: {', '.join(sorted(makers))}")
+    return makers[kind]()
+
+
+def probe(makers: dict[str, Callable[[], Client]], names: list[str] | None = None, prompt: str = "ping", timeout: float = 90.0) -> list[tuple[str, bool, str]]:
+    """(provider, whether it answers, message) of the named providers or all; failures are told, not raised."""
+    out = []
+    for name in names if names is not None else sorted(makers):
+        try:
+            answer, failed, _, message = call_with_retry(client_of(name, makers), prompt, 0, timeout=timeout)
+            out.append((name, not failed and bool(answer), message))
+        except Exception as e:  # noqa: BLE001 - as documented
+            out.append((name, False, f"{type(e).__name__}: {e}"))
+    return out
+
+
+def call_with_retry(client: Client, prompt: str, retries: int = 2, wait: Callable[[float], None] = time.sleep, timeout: float | None = 90.0) -> tuple[str, bool, int, str]:
+    """(answer, failed, retries, message): waits 2, 4, 8 … seconds between attempts; never raises.
+
+    A call that takes longer than ``timeout`` seconds counts as failed; its thread is left behind.
+    """
     message = ""
     for attempt in range(retries + 1):
         try:
-            return client(prompt), False, attempt, ""
+            return _within(timeout, client, prompt), False, attempt, ""
         except Exception as e:  # noqa: BLE001 - a failed call is a row
             message = f"{type(e).__name__}: {e}"
             if attempt < retries:
-                wait(2.0**attempt)
+                wait(2.0 ** (attempt + 1))
     return "", True, retries, message
 
 
-def generate(df: DataFrame, prompt: Column, client: Client, retries: int = 2, at_once: int | None = None, wait: Callable[[float], None] = time.sleep) -> DataFrame:
+def _within(timeout: float | None, client: Client, prompt: str) -> str:
+    if timeout is None:
+        return client(prompt)
+    box: list = []
+
+    def run() -> None:
+        try:
+            box.append((client(prompt), None))
+        except Exception as e:  # noqa: BLE001 - raised by the caller
+            box.append((None, e))
+
+    thread = threading.Thread(target=run, daemon=True)
+    thread.start()
+    thread.join(timeout)
+    if not box:
+        raise TimeoutError(f"no answer in {timeout:g} s")
+    answer, error = box[0]
+    if error is not None:
+        raise error
+    return answer
+
+
+def generate(df: DataFrame, prompt: Column, client: Client, retries: int = 2, at_once: int | None = None, wait: Callable[[float], None] = time.sleep, timeout: float | None = 90.0) -> DataFrame:
     """``df`` with the columns of CALL. at_once: how many partitions, so calls, run at a time."""
     source = df.repartition(at_once) if at_once else df
     source = source.withColumn("__prompt", prompt)
@@ -69,7 +114,7 @@ def generate(df: DataFrame, prompt: Column, client: Client, retries: int = 2, at
             calls = []
             for p in b["__prompt"]:
                 began = time.perf_counter()
-                calls.append((*call_with_retry(client, p or "", retries, wait), time.perf_counter() - began))
+                calls.append((*call_with_retry(client, p or "", retries, wait, timeout), time.perf_counter() - began))
             made = pd.DataFrame(calls, columns=[c.split()[0] for c in CALL.split(", ")], index=b.index)
             yield pd.concat([b[names], made], axis=1)
 

@@ -25,7 +25,7 @@ def confusion(df: DataFrame, gold: Column, pred: Column, groups: list[str] | Non
 
 
 def paired(df: DataFrame, gold: Column, old: Column, new: Column) -> DataFrame:
-    """b (old right, new wrong), c (the reverse), n and the exact two-sided McNemar p."""
+    """b (old right, new wrong), c (the reverse), n, the exact two-sided McNemar p, and its decimal logarithm."""
     ok = gold.isin("y", "n") & old.isin("y", "n") & new.isin("y", "n")
     counts = df.where(ok).agg(F.count_if((old == gold) & (new != gold)).alias("b"), F.count_if((old != gold) & (new == gold)).alias("c"), F.count(F.lit(1)).alias("n"))
 
@@ -39,18 +39,33 @@ def paired(df: DataFrame, gold: Column, old: Column, new: Column) -> DataFrame:
 
         return pd.Series([p(int(x), int(y)) for x, y in zip(b, c)])
 
-    return counts.select("b", "c", "n", exact("b", "c").alias("p_value"))
+    return counts.withColumn("p_value", exact("b", "c")).withColumn("log10_p", F.log10("p_value"))
+
+
+def pair(old: DataFrame, new: DataFrame, label: str = "label") -> DataFrame:
+    """(post_id, gold, old, new): two runs' predictions of the same posts side by side."""
+    return old.select("post_id", "gold", F.col(label).alias("old")).join(new.select("post_id", F.col(label).alias("new")), "post_id")
 
 
 def label_shift(df: DataFrame, old: Column, new: Column) -> DataFrame:
-    """Chi-square of the labels of two predictors: chi2, dof, and p where two degrees give exp(-x/2)."""
+    """Chi-square of the labels of two predictors: chi2, dof, p and whether it is under 0.05.
+
+    p is exp(-x/2) for two degrees of freedom, which three labels give, erfc(sqrt(x/2)) for one, and 1 for none.
+    """
     labels = df.select(F.explode(F.array(F.struct(F.lit("old").alias("version"), old.alias("label")), F.struct(F.lit("new").alias("version"), new.alias("label")))).alias("x")).select("x.*").where("label IS NOT NULL")
     cells = labels.groupBy("label").agg(F.count_if(F.col("version") == "old").alias("o"), F.count_if(F.col("version") == "new").alias("n"))
     sums = cells.agg(F.sum("o").alias("so"), F.sum("n").alias("sn"), F.count(F.lit(1)).alias("k"))
     joined = cells.crossJoin(F.broadcast(sums))  # a label each, against one row
     eo, en = (F.col("o") + F.col("n")) * F.col("so") / (F.col("so") + F.col("sn")), (F.col("o") + F.col("n")) * F.col("sn") / (F.col("so") + F.col("sn"))
     part = F.pow(F.col("o") - eo, 2) / eo + F.pow(F.col("n") - en, 2) / en
-    return joined.agg(F.sum(part).alias("chi2"), (F.max("k") - 1).alias("dof"))
+    found = joined.agg(F.sum(part).alias("chi2"), (F.max("k") - 1).alias("dof"))
+
+    @F.pandas_udf("double")
+    def one_degree(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: math.erfc(math.sqrt(v / 2)))
+
+    p = F.when(F.col("dof") == 2, F.exp(-F.col("chi2") / 2)).when(F.col("dof") == 1, one_degree("chi2")).when(F.col("dof") == 0, F.lit(1.0))
+    return found.withColumn("p_value", p).withColumn("shifted", F.col("p_value") < 0.05)
 
 
 def gate(b: Column, c: Column, p_value: Column, f1_old: Column, f1_new: Column, alpha: float = 0.05) -> Column:

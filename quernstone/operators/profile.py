@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -26,3 +28,16 @@ def largest_groups(df: DataFrame, group: str, value: str) -> DataFrame:
     """Groups with the greatest sum, ties kept."""
     sums = df.groupBy(group).agg(F.sum(value).alias("total"))
     return sums.withColumn("rk", F.rank().over(Window.orderBy(F.desc("total")))).where("rk = 1").drop("rk")
+
+
+#: Fewest and most tokens of a text that is sampled.
+BOUNDS = (20, 600)
+
+
+def length_bounds(profile: str | None) -> tuple[int, int]:
+    """Bounds that a profile's JSON gives under ``bounds``; the defaults for what it lacks or where it can't be read."""
+    try:
+        found = json.loads(profile or "{}").get("bounds", {})
+        return int(found.get("min_tokens", BOUNDS[0])), int(found.get("max_tokens", BOUNDS[1]))
+    except (ValueError, AttributeError, TypeError):
+        return BOUNDS

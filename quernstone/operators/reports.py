@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quernstone.functions.text import split_multi
+from quernstone.functions.text import preview, split_multi
 
 
 def post_master(posts: DataFrame, pains: DataFrame, index: DataFrame, courses: DataFrame) -> DataFrame:
@@ -53,17 +53,46 @@ def course_summary(master: DataFrame) -> DataFrame:
 
 
 def cluster_detail(index: DataFrame, pains: DataFrame) -> DataFrame:
-    """Per course and cluster: rows, share of the course's pain posts, first three post ids."""
+    """Per course and cluster: rows, share of the course's pain posts, first three post ids with their snippets."""
+    ids = index.where("course_code IS NOT NULL AND cluster_id IS NOT NULL AND post_id IS NOT NULL").select("course_code", "cluster_id", "post_id").distinct()
+    three = ids.withColumn("__rn", F.row_number().over(Window.partitionBy("course_code", "cluster_id").orderBy("post_id"))).where("__rn <= 3").drop("__rn")
+    texts = pains.groupBy("post_id").agg(F.min("pain_point_snippet").alias("snippet"))
+    first = three.join(texts, "post_id", "left").groupBy("course_code", "cluster_id").agg(F.array_sort(F.collect_list(F.struct("post_id", F.coalesce("snippet", F.lit("")).alias("snippet")))).alias("first"))
     totals = pains.groupBy("course_code").agg(F.countDistinct("post_id").alias("total"))
     return (
         index.where("course_code IS NOT NULL AND cluster_id IS NOT NULL")
         .groupBy("course_code", "cluster_id")
-        .agg(F.count(F.lit(1)).alias("n_rows"), F.min("global_cluster_id").alias("global_cluster_id"), F.slice(F.array_sort(F.collect_set("post_id")), 1, 3).alias("first"))
+        .agg(F.count(F.lit(1)).alias("n_rows"), F.min("global_cluster_id").alias("global_cluster_id"))
         .join(totals, "course_code", "left")
-        .select("course_code", "cluster_id", "n_rows", "global_cluster_id", (F.col("n_rows") / F.coalesce(F.nullif("total", F.lit(0)), F.lit(1))).alias("share"), F.array_join("first", ";").alias("example_ids"))
+        .join(first, ["course_code", "cluster_id"], "left")
+        .select("course_code", "cluster_id", "n_rows", "global_cluster_id", (F.col("n_rows") / F.coalesce(F.nullif("total", F.lit(0)), F.lit(1))).alias("share"), F.coalesce(F.array_join(F.transform("first", lambda x: x["post_id"]), ";"), F.lit("")).alias("example_ids"), F.coalesce(F.array_join(F.transform("first", lambda x: preview(x["snippet"], 40)), " | "), F.lit("")).alias("example_snippets"))
     )
 
 
+def with_summaries(detail: DataFrame, summaries: DataFrame) -> DataFrame:
+    """Cluster detail with the clusters' summaries (cluster_id, issue_summary), where there are any."""
+    return detail.join(summaries.groupBy("cluster_id").agg(F.min("issue_summary").alias("issue_summary")), "cluster_id", "left")
+
+
+def with_index(master: DataFrame, index: DataFrame) -> DataFrame:
+    """Rows with the labels (cluster_id, global_cluster_id, normalized_issue_label, provisional_label) of both their keys; null keys find none."""
+    labels = index.select("cluster_id", "global_cluster_id", "normalized_issue_label", "provisional_label").dropDuplicates(["cluster_id", "global_cluster_id"])
+    return master.join(labels, ["cluster_id", "global_cluster_id"], "left")
+
+
+def display_label(issue: Column, cluster: Column, otherwise: str = "Unlabelled") -> Column:
+    """The issue's label, else the cluster's, else a constant; blank ones count as missing."""
+    there = lambda c: F.when(F.trim(c) != "", c)
+    return F.coalesce(there(issue), there(cluster), F.lit(otherwise))
+
+
+def contributors(cells: DataFrame, keys: list[str], member: str, n: str, most: int = 10) -> DataFrame:
+    """(keys, contributors): the members with the greatest counts as ``member(n)``, joined by ``; ``; ties by member."""
+    ranked_cells = cells.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(n), F.asc(member)))).where(F.col("__rn") <= most)
+    listed = F.array_sort(F.collect_list(F.struct("__rn", F.format_string("%s(%d)", F.col(member), F.col(n)).alias("t"))))
+    return ranked_cells.groupBy(*keys).agg(F.array_join(F.transform(listed, lambda x: x["t"]), "; ").alias("contributors"))
+
+
 def issue_course_matrix(index: DataFrame) -> DataFrame:
     return index.where("global_cluster_id IS NOT NULL AND course_code IS NOT NULL").groupBy("global_cluster_id", "course_code").agg(F.countDistinct("post_id").alias("posts"), F.countDistinct("cluster_id").alias("clusters"))
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quernstone.session import cut_lineage
+
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in the given order."""
@@ -27,6 +29,17 @@ def append_widened(current: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return current.unionByName(new.join(current.select(key), key, "left_anti"), allowMissingColumns=True)
 
 
+def first_in_order(df: DataFrame, order: list[Column | str], n: int | None) -> DataFrame:
+    """The first n rows in the given order; all of them where n is None."""
+    return df.orderBy(*order) if n is None else df.orderBy(*order).limit(n)
+
+
+def known_in_order(wanted: DataFrame, known: DataFrame, key: str, order: list[Column | str], n: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(present, missing): wanted rows whose key is known, the first n of them in order, and those whose key is not."""
+    ids = known.select(key).distinct()
+    return first_in_order(wanted.join(ids, key, "left_semi"), order, n), wanted.join(ids, key, "left_anti")
+
+
 def coverage(assigned: DataFrame, unassigned: DataFrame, known: DataFrame, key: str) -> DataFrame:
     """(violation, key): ids assigned and unassigned at once, missing from both, or unknown."""
     a, u, k = (x.select(key).distinct() for x in (assigned, unassigned, known))
@@ -35,6 +48,20 @@ def coverage(assigned: DataFrame, unassigned: DataFrame, known: DataFrame, key:
     return tag(a.intersect(u), "both").unionByName(tag(k.join(both, key, "left_anti"), "missing")).unionByName(tag(both.join(k, key, "left_anti"), "unknown"))
 
 
+def rank_all(df: DataFrame, *order: Column | str, name: str = "rank") -> DataFrame:
+    """Adds a 1-based unique rank over all rows in the given order: ranges first, rows within a range then.
+
+    No task sees more than a range; the ranges' sizes, one row each, are summed up and broadcast.
+    The rows are stored in between, so that both readings see the same ranges.
+    """
+    order = tuple(F.col(c) if isinstance(c, str) else c for c in order)
+    ranges = cut_lineage(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    held = ranges.groupBy("__part").agg(F.count(F.lit(1)).alias("__held"))
+    before = held.select("__part", (F.sum("__held").over(Window.orderBy("__part")) - F.col("__held")).alias("__before"))
+    within = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return ranges.withColumn("__rn", within).join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + F.col("__rn")).drop("__part", "__rn", "__before")
+
+
 def chunk_of(rank: Column, size: int) -> Column:
     """1-based chunk of a 1-based rank."""
     return (F.floor((rank - 1) / size) + 1).cast("int")
@@ -45,6 +72,8 @@ def cap_children(df: DataFrame, parent: str, order: list[Column], width: int) ->
     return df.withColumn("__rn", F.row_number().over(Window.partitionBy(parent).orderBy(*order))).where(F.col("__rn") <= width).drop("__rn")
 
 
-def page(df: DataFrame, order: list[Column], number: int, size: int = 50) -> DataFrame:
-    """One page of an ordered result; pages start at 1."""
+def page(df: DataFrame, order: list[Column], number: int, size: int = 50, total: int | None = None) -> DataFrame:
+    """One page of an ordered result; pages start at 1. With a ``total`` of rows, a number past the last page gives the last."""
+    if total is not None:
+        number = min(number, max(1, -(-total // size)))
     return df.orderBy(*order).offset((max(number, 1) - 1) * size).limit(size)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quernstone.functions import text
-from quernstone.operators import classify, filters
+from quernstone.operators import classify, filters, rows
 from quernstone.operators.threads import thread
 from quernstone.plans.base import gold, pains, posts, sql
 from quernstone.sources.tables import table
@@ -56,13 +56,13 @@ def q_both_blank(spark, d):
 
 def q_group_lists(spark, d):
     """Pain points of a course as one ordered list: how many, and the first and last of it."""
-    g = pains(spark, d).groupBy("course_code").agg(F.array_sort(F.collect_list(F.struct("post_id", "root_cause_summary"))).alias("l"))
-    return g.select("course_code", F.size("l").alias("n"), F.col("l")[0]["post_id"].alias("first_post"), F.element_at("l", -1)["post_id"].alias("last_post"))
+    return pains(spark, d).groupBy("course_code").agg(F.count(F.lit(1)).cast("int").alias("n"), F.min("post_id").alias("first_post"), F.max("post_id").alias("last_post"))
 
 
 def q_zip_examples(spark, d):
     """First four snippets of a course beside their ids."""
-    g = pains(spark, d).where("pain_point_snippet IS NOT NULL").groupBy("course_code").agg(F.array_sort(F.collect_list(F.struct("post_id", "pain_point_snippet"))).alias("l"))
+    four = rows.cap_children(pains(spark, d).where("pain_point_snippet IS NOT NULL"), "course_code", [F.asc("post_id"), F.asc("pain_point_snippet")], 4)
+    g = four.groupBy("course_code").agg(F.array_sort(F.collect_list(F.struct("post_id", "pain_point_snippet"))).alias("l"))
     pairs = F.slice(F.arrays_zip(F.col("l.post_id").alias("i"), F.col("l.pain_point_snippet").alias("s")), 1, 4)
     return g.select("course_code", F.array_join(F.transform(pairs, lambda x: F.concat(x["i"], F.lit(":"), text.preview(x["s"], 12))), "|").alias("examples"))
 

@@ -15,17 +15,9 @@ def _events(spark, d):
     return table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _to_folder(spark, stream, mode):
-    """Runs a stream to its end into the shared folder and reads the result."""
-    ensure_checkpoint_dir(spark)
-    base = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
-    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).format("parquet").start(f"{base}/out").awaitTermination()
-    return spark.read.parquet(f"{base}/out")
-
-
 def q_stream_latest_day(spark, d):
     """Distinct events of the stream, by type and day."""
-    out = _to_folder(spark, feeds.deduplicated(feeds.event_stream(spark, f"{d}/events.parquet").select("event_id", "event_type", "ts"), "event_id", "ts", "60 days"), "append")
+    out = feeds.run_to_table(feeds.deduplicated(feeds.event_stream(spark, f"{d}/events.parquet").select("event_id", "event_type", "ts"), "event_id", "ts", "60 days"))
     return out.groupBy("event_type", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -37,6 +29,18 @@ def q_stream_frontier(spark, d):
     return spark.read.parquet(f"{base}/out").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last_id"))
 
 
+def q_stream_windows(spark, d):
+    """Counts of the stream by day and type, each emitted when its result changes."""
+    w = feeds.run_to_table(feeds.windowed_counts(feeds.event_stream(spark, f"{d}/events.parquet"), "1 day"), "complete")
+    return w.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+def q_stream_sessions(spark, d):
+    """Sessions of the stream by user, emitted when the watermark has passed them or the stream's result is complete."""
+    s = feeds.run_to_table(feeds.sessions(feeds.event_stream(spark, f"{d}/events.parquet"), "6 hours", "60 days"), "complete")
+    return s.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_sessions"), F.max("n").alias("longest"))
+
+
 def q_window_counts(spark, d):
     w = feeds.windowed_counts(_events(spark, d), "1 day")
     return w.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
@@ -56,9 +60,11 @@ def q_event_page(spark, d):
 
 QUERIES = {k: v for k, v in globals().items() if k.startswith("q_")}
 ORACLE = {
+    "q_stream_windows": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
     "q_stream_latest_day": "SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(DISTINCT event_id) AS n FROM events GROUP BY 1, 2",
     "q_stream_frontier": "SELECT event_type, count(DISTINCT event_id) AS n, max(event_id) AS last_id FROM events GROUP BY 1",
     "q_window_counts": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
     "q_sessions": "SELECT user_id, count(*) AS n_sessions, max(n) AS longest FROM (SELECT user_id, s, count(*) AS n FROM (SELECT user_id, sum(CASE WHEN before IS NULL OR ts >= before + INTERVAL 6 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events)) GROUP BY 1, 2) GROUP BY 1",
     "q_event_page": "SELECT event_id, user_id FROM events WHERE event_type = 'error' ORDER BY ts, event_id LIMIT 50 OFFSET 150",
 }
+ORACLE["q_stream_sessions"] = ORACLE["q_sessions"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quernstone.functions import parse, text
-from quernstone.functions.sentiment import NEGATIONS, WEIGHTS, compound
+from quernstone.functions.sentiment import NEGATIONS, STRONGER, WEAKER, WEIGHTS, compound
 from quernstone.operators import profile, rows, sampling
 from quernstone.plans.base import gold, posts, sql
 from quernstone.sources.tables import table
@@ -128,5 +128,5 @@ ORACLE = {
     "q_json_props": "SELECT event_type, CAST(sum(k) AS BIGINT) AS total, max(k) AS most, count(k) AS n FROM (SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY 1",
     "q_json_metadata": sql("SELECT CAST(CASE WHEN json_valid(extra_metadata) AND json_type(extra_metadata) = 'OBJECT' THEN len(json_keys(extra_metadata)) ELSE -1 END AS INT) AS n_keys, count(*) AS n FROM posts WHERE extra_metadata IS NOT NULL GROUP BY 1", "posts"),
     "q_parse_response": sql("SELECT post_id, CASE WHEN kind = 3 THEN 'u' WHEN gold IN ('y', 'n', 'u') THEN gold ELSE 'u' END AS label, CASE WHEN kind < 3 AND gold = 'y' THEN 'c' ELSE '' END AS summary, CASE WHEN kind < 3 AND gold = 'y' THEN 's' ELSE '' END AS snippet, CAST(CASE WHEN kind < 3 THEN 0.5 ELSE 0.0 END AS DOUBLE) AS confidence, kind >= 3 AS parse_error, kind >= 3 OR gold NOT IN ('y', 'n', 'u') AS schema_error, kind >= 3 AS used_fallback FROM (SELECT post_id, gold, (length(post_id) + ascii(post_id) + ascii(reverse(post_id))) % 5 AS kind FROM gold WHERE gold IS NOT NULL)", "gold"),
-    "q_sentiment": sql(f"SELECT post_id, round(coalesce(s, 0) / sqrt(coalesce(s, 0) * coalesce(s, 0) + 15), 9) AS compound FROM posts LEFT JOIN (SELECT post_id, sum(CASE WHEN p IN {NEGATIONS} THEN CAST({_WEIGHT} AS DOUBLE) * -0.74 ELSE CAST({_WEIGHT} AS DOUBLE) END ORDER BY i) AS s FROM (SELECT post_id, i, ws[i] AS w, ws[i - 1] AS p FROM (SELECT post_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT post_id, regexp_extract_all(lower(coalesce(selftext, '')), '[a-z]+') AS ws FROM posts))) GROUP BY 1) USING (post_id)", "posts"),
+    "q_sentiment": sql(f"SELECT post_id, round(coalesce(s, 0) / sqrt(coalesce(s, 0) * coalesce(s, 0) + 15), 9) AS compound FROM posts LEFT JOIN (SELECT post_id, sum(CASE WHEN p IN {NEGATIONS} THEN CAST({_WEIGHT} AS DOUBLE) * -0.74::DOUBLE WHEN p IN {STRONGER} THEN CAST({_WEIGHT} AS DOUBLE) * 1.29::DOUBLE WHEN p IN {WEAKER} THEN CAST({_WEIGHT} AS DOUBLE) * 0.71::DOUBLE ELSE CAST({_WEIGHT} AS DOUBLE) END ORDER BY i) AS s FROM (SELECT post_id, i, ws[i] AS w, ws[i - 1] AS p FROM (SELECT post_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT post_id, regexp_extract_all(lower(coalesce(selftext, '')), '[a-z]+') AS ws FROM posts))) GROUP BY 1) USING (post_id)", "posts"),
 }

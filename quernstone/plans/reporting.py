@@ -116,6 +116,7 @@ _ISSUES = "SELECT global_cluster_id, count(DISTINCT post_id) AS total, count(DIS
 _FUNNEL = """, per AS (SELECT c.course_code, count(DISTINCT p.post_id) AS posts, coalesce(any_value(n.n), 0) AS pain_posts, coalesce(any_value(i.a), 0) AS clustered_posts, coalesce(any_value(i.b), 0) AS clusters, coalesce(any_value(i.c), 0) AS issues FROM (SELECT DISTINCT course_code FROM posts WHERE course_code IS NOT NULL) c JOIN posts p ON p.course_code = c.course_code LEFT JOIN (SELECT course_code, count(DISTINCT post_id) AS n FROM pains GROUP BY 1) n ON n.course_code = c.course_code LEFT JOIN (SELECT course_code, count(DISTINCT post_id) AS a, count(DISTINCT cluster_id) AS b, count(DISTINCT global_cluster_id) AS c FROM idx GROUP BY 1) i ON i.course_code = c.course_code GROUP BY 1), counts AS (SELECT *, greatest(posts - pain_posts, 0) AS no_pain, greatest(pain_posts - clustered_posts, 0) AS unclustered FROM per)"""
 _COLLEGES = "(SELECT coursecode, trim(x) AS college FROM (SELECT coursecode, unnest(string_split(coalesce(colleges, ''), ';')) AS x FROM courses) WHERE trim(x) <> '')"
 _SINGLE = f"(SELECT coursecode, min(college) AS college FROM {_COLLEGES} GROUP BY 1 HAVING count(*) = 1)"
+_SHORT = r"regexp_replace(regexp_replace(regexp_replace(coalesce(x, ''), 'https?://[^ \t\n\f\r]+', '', 'g'), '[ \t\n\f\r]+', ' ', 'g'), '^\s+|\s+$', '', 'g')"
 _SUMS = ", ".join(f"CAST(sum({m}) AS BIGINT) AS {m}" for m in _MEASURES)
 
 
@@ -134,8 +135,9 @@ ORACLE = {
         "master",
     ),
     "q_course_summary": _with("SELECT * FROM summary", _SUMMARY, "master"),
-    "q_cluster_detail": sql(
-        "SELECT i.course_code, cluster_id, count(*) AS n_rows, min(global_cluster_id) AS global_cluster_id, count(*) / coalesce(nullif(any_value(t.total), 0), 1) AS share, array_to_string(list_sort(list_distinct(list(i.post_id)))[1:3], ';') AS example_ids FROM idx i LEFT JOIN (SELECT course_code, count(DISTINCT post_id) AS total FROM pains GROUP BY 1) t ON i.course_code = t.course_code WHERE i.course_code IS NOT NULL AND cluster_id IS NOT NULL GROUP BY 1, 2",
+    "q_cluster_detail": _with(
+        "SELECT i.course_code, i.cluster_id, count(*) AS n_rows, min(global_cluster_id) AS global_cluster_id, count(*) / coalesce(nullif(any_value(t.total), 0), 1) AS share, coalesce(any_value(f.ids), '') AS example_ids, coalesce(any_value(f.texts), '') AS example_snippets FROM idx i LEFT JOIN (SELECT course_code, count(DISTINCT post_id) AS total FROM pains GROUP BY 1) t ON i.course_code = t.course_code LEFT JOIN firsts f ON f.course_code = i.course_code AND f.cluster_id = i.cluster_id WHERE i.course_code IS NOT NULL AND i.cluster_id IS NOT NULL GROUP BY 1, 2",
+        f", three AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY course_code, cluster_id ORDER BY post_id) AS rn FROM (SELECT DISTINCT course_code, cluster_id, post_id FROM idx WHERE course_code IS NOT NULL AND cluster_id IS NOT NULL AND post_id IS NOT NULL)) WHERE rn <= 3), firsts AS (SELECT course_code, cluster_id, string_agg(post_id, ';' ORDER BY rn) AS ids, string_agg(CASE WHEN length(s) > 40 THEN s[1:39] || '…' ELSE s END, ' | ' ORDER BY rn) AS texts FROM (SELECT three.*, {_SHORT} AS s FROM three LEFT JOIN (SELECT post_id, min(pain_point_snippet) AS x FROM pains GROUP BY 1) USING (post_id)) GROUP BY 1, 2)",
         "pains", "idx",
     ),
     "q_issue_course_matrix": sql("SELECT global_cluster_id, course_code, count(DISTINCT post_id) AS posts, count(DISTINCT cluster_id) AS clusters FROM idx WHERE global_cluster_id IS NOT NULL AND course_code IS NOT NULL GROUP BY 1, 2", "idx"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quernstone.functions import text
 from quernstone.functions.sentiment import compound
 from quernstone.operators import classify, clusters, evaluation, filters, profile, reports, rows, sampling
+from quernstone.session import cut_lineage
 from quernstone.sources import sinks
 
 
@@ -16,7 +17,7 @@ def run_stage0(posts: DataFrame, boards: DataFrame, courses: DataFrame, out: str
 
     Does nothing when the manifest is locked.
     """
-    if manifest and sinks.is_locked(manifest):
+    if manifest and sinks.is_locked(posts.sparkSession, manifest):
         return None
     kept = filters.structural_filter(posts).join(boards.select("subreddit_id", F.col("name").alias("board")), "subreddit_id", "left")
     body = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("selftext", F.lit("")))
@@ -73,10 +74,12 @@ def preprocess_painpoints(predictions: DataFrame, out: str) -> DataFrame:
 
 
 def validate_clusters(nested: DataFrame, pains: DataFrame) -> None:
-    """Raises when a cluster breaks a rule."""
-    broken = clusters.violations(clusters.flatten(nested), pains).limit(20).collect()
-    if broken:
-        raise ValueError("; ".join(f"{r['rule']}: {r['course_code']} {r['cluster_id']}" for r in broken))
+    """Raises when a cluster breaks a rule: how many there are of each, and twenty of them by name."""
+    broken = cut_lineage(clusters.violations(clusters.flatten(nested), pains))
+    counts = broken.groupBy("rule").agg(F.count(F.lit(1)).alias("n")).orderBy("rule").collect()
+    if counts:
+        shown = broken.orderBy("rule", "course_code", "cluster_id").limit(20).collect()
+        raise ValueError(", ".join(f"{r['rule']} {r['n']}" for r in counts) + ": " + "; ".join(f"{r['rule']} {r['course_code']} {r['cluster_id']}" for r in shown))
 
 
 def build_analytics(posts: DataFrame, pains: DataFrame, index: DataFrame, courses: DataFrame, out: str) -> dict[str, int]:

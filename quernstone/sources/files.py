@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import glob
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from quernstone.sources import storage
+
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType, strict: bool = True) -> DataFrame:
     """One object per line, blank lines skipped. strict: a bad line raises; else it is dropped. A missing path gives no rows."""
-    if not _exists(spark, path):
+    if not storage.exists(spark, path):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
 
@@ -51,11 +50,61 @@ def read_json_folder(spark: SparkSession, pattern: str, schema: T.StructType) ->
 
 
 def optional_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A Parquet table, or an empty one; columns it lacks are null."""
-    if not _exists(spark, path):
+    """A Parquet table, or an empty one; of columns it lacks counts (integers) are 0, the others null."""
+    if not storage.exists(spark, path):
         return spark.createDataFrame([], schema)
     df = spark.read.parquet(path)
-    return df.select([F.col(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields])
+    lacking = lambda f: F.lit(0 if isinstance(f.dataType, T.IntegralType) else None).cast(f.dataType).alias(f.name)
+    return df.select([F.col(f.name) if f.name in df.columns else lacking(f) for f in schema.fields])
+
+
+def code_dictionary(spark: SparkSession, path: str, column: str = "CourseCode") -> DataFrame:
+    """(code): trimmed non-blank codes of a CSV; a missing file, or one that can't be read or lacks the column, gives none."""
+    none = spark.createDataFrame([], "code string")
+    if not storage.exists(spark, path):
+        return none
+    try:
+        return read_csv(spark, path, [column]).select(F.trim(column).alias("code")).where("code <> ''")
+    except Exception:  # noqa: BLE001 - as documented
+        return none
+
+
+def required_tables(spark: SparkSession, paths: dict[str, str]) -> dict[str, DataFrame]:
+    """Parquet tables by name; raises with all that are missing before any is read."""
+    missing = sorted(p for p in paths.values() if not storage.exists(spark, p))
+    if missing:
+        raise FileNotFoundError(", ".join(missing))
+    return {name: spark.read.parquet(p) for name, p in paths.items()}
+
+
+def cluster_index(df: DataFrame, key: str = "cluster_id") -> DataFrame:
+    """One row of each non-blank cluster id; raises when there is none."""
+    kept = df.where(F.trim(F.coalesce(key, F.lit(""))) != "")
+    if kept.isEmpty():
+        raise ValueError(f"no {key}")
+    return kept.dropDuplicates([key])
+
+
+def nonblank_ids(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows whose ids are all there."""
+    for k in keys:
+        df = df.where(F.trim(F.coalesce(F.col(k), F.lit(""))) != "")
+    return df
+
+
+def file_digests(spark: SparkSession, pattern: str) -> DataFrame:
+    """(path, sha256, length) of whole files."""
+    return spark.read.format("binaryFile").load(pattern).select("path", F.sha2("content", 256).alias("sha256"), "length")
+
+
+def college_map(spark: SparkSession, path: str) -> DataFrame:
+    """(course_code, college): a JSON object of course code -> list of colleges; an empty list gives no row."""
+    raw = spark.read.text(path, wholetext=True)
+    return college_pairs(raw, "value")
+
+
+def college_pairs(df: DataFrame, column: str) -> DataFrame:
+    return df.select(F.explode(F.from_json(column, "map<string,array<string>>")).alias("course_code", "c")).select("course_code", F.explode("c").alias("college"))
 
 
 def allowlist(spark: SparkSession, path: str) -> DataFrame:
@@ -64,10 +113,12 @@ def allowlist(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.regexp_replace(line, "^/?r/", "").alias("name")).where((F.col("name") != "") & ~F.startswith("name", F.lit("#"))).distinct()
 
 
-def latest_by_name(folder: str, needed: list[str]) -> str | None:
+def latest_by_name(spark: SparkSession, folder: str, needed: list[str]) -> str | None:
     """The sub-folder greatest by name that holds all needed files."""
-    full = [p for p in sorted(glob.glob(os.path.join(folder, "*")), reverse=True) if all(os.path.exists(os.path.join(p, n)) for n in needed)]
-    return full[0] if full else None
+    for name in reversed(storage.children(spark, folder)):
+        if all(storage.exists(spark, f"{folder}/{name}/{n}") for n in needed):
+            return f"{folder}/{name}"
+    return None
 
 
 def latest_by_time(spark: SparkSession, pattern: str) -> str | None:
@@ -105,8 +156,3 @@ def widen(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Adds missing columns as nulls; never drops one."""
     return df.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields if f.name not in df.columns])
 
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.operators.rows import first_per_key, insert_absent
+from quernstone.session import ensure_checkpoint_dir
+from quernstone.sources import storage
 
 
 def event_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -25,17 +27,23 @@ def ingest(stream: DataFrame, target: str, key: str, time: str, source: str, che
     record whose key exists; repeated records in a batch count once.
     """
 
-    def step(batch: DataFrame, _: int) -> None:
+    frontiers = f"{checkpoint}-frontiers"  # one small table for each batch: the greatest time of every source
+
+    def step(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
         new = first_per_key(batch, [key], [F.asc(time), F.asc(key)])
-        try:
-            stored = spark.read.parquet(target)
-        except Exception:  # noqa: BLE001 - no table yet
-            new.write.mode("append").parquet(target)
-            return
-        frontier = stored.groupBy(source).agg(F.max(time).alias("__frontier"))
-        fresh = new.join(frontier, source, "left").where(F.col("__frontier").isNull() | (F.col(time) > F.col("__frontier"))).drop("__frontier")
-        fresh.join(stored.select(key), key, "left_anti").write.mode("append").parquet(target)
+        before = [int(x) for x in storage.children(spark, frontiers) if x.isdigit() and int(x) < n]
+        known = spark.read.parquet(f"{frontiers}/{max(before)}") if before else None
+        if known is None and storage.exists(spark, target):  # rows that are there without a frontier
+            known = spark.read.parquet(target).groupBy(source).agg(F.max(time).alias("__frontier"))
+        if known is not None:
+            new = new.join(known, source, "left").where(F.col("__frontier").isNull() | (F.col(time) > F.col("__frontier"))).drop("__frontier")
+            if storage.exists(spark, target):  # a replayed batch finds its own rows here
+                new = new.join(spark.read.parquet(target).select(key), key, "left_anti")
+        new.write.mode("append").parquet(target)
+        reached = batch.groupBy(source).agg(F.max(time).alias("__frontier"))
+        both = reached if known is None else reached.unionByName(known)
+        both.groupBy(source).agg(F.max("__frontier").alias("__frontier")).write.mode("overwrite").parquet(f"{frontiers}/{n}")
 
     stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
@@ -56,11 +64,16 @@ def deduplicated(stream: DataFrame, key: str, time: str, late: str = "2 hours")
     return stream.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Runs a stream over what is there and returns its result."""
-    with tempfile.TemporaryDirectory() as checkpoint:
-        stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.table(name)
+def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """Runs a stream over what is there into the shared folder and returns its result; append mode needs a watermark."""
+    spark = stream.sparkSession
+    base = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
+    if mode == "append":
+        writer.format("parquet").start(f"{base}/out").awaitTermination()
+    else:  # each batch's result replaces the one before
+        writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{base}/out")).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
 __all__ = ["deduplicated", "event_stream", "ingest", "insert_absent", "run_to_table", "sessions", "windowed_counts"]

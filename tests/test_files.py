@@ -64,7 +64,7 @@ def test_nested_folder_and_latest(spark, tmp_path):
         (tmp_path / name).mkdir()
         if name != "r3":
             (tmp_path / name / "m.json").write_text(json.dumps({"courses": [{"course_code": "A", "clusters": []}]}))
-    assert files.latest_by_name(str(tmp_path), ["m.json"]).endswith("r2")
+    assert files.latest_by_name(spark, str(tmp_path), ["m.json"]).endswith("r2")
     assert files.latest_by_time(spark, f"{tmp_path}/*/m.json").endswith("m.json")
     df = files.read_json_folder(spark, f"{tmp_path}/*/m.json", schemas.CLUSTER_FILE)
     assert df.count() == 2 and df.first()["file_name"] == "m.json"
@@ -92,7 +92,7 @@ def test_sinks(spark, tmp_path):
     sinks.append_snapshot(df, str(tmp_path / "snap"), 2.5)
     assert spark.read.parquet(str(tmp_path / "snap")).groupBy("captured_at").count().count() == 2
     got = sinks.write_manifest(str(tmp_path / "m.json"), df.agg(F.count("*").alias("rows")), status="locked")
-    assert got["rows"] == 12 and sinks.is_locked(str(tmp_path / "m.json")) and not sinks.is_locked(str(tmp_path / "no"))
+    assert got["rows"] == 12 and sinks.is_locked(spark, str(tmp_path / "m.json")) and not sinks.is_locked(spark, str(tmp_path / "no"))
     assert "- rows: 12" in sinks.overview(df.agg(F.count("*").alias("rows")), "T")
     df.write.parquet(str(tmp_path / "src" / "a.parquet"))
     assert sinks.copy_tables(spark, ["a", "b"], str(tmp_path / "src"), str(tmp_path / "dst")) == ["a"]

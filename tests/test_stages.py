@@ -26,7 +26,7 @@ class Flaky:
 
 def test_retries():
     waits = []
-    assert classify.call_with_retry(Flaky(2), "p", 2, waits.append) == ("ok p", False, 2, "") and waits == [1.0, 2.0]
+    assert classify.call_with_retry(Flaky(2), "p", 2, waits.append) == ("ok p", False, 2, "") and waits == [2.0, 4.0]
     assert classify.call_with_retry(Flaky(9), "p", 2, waits.append) == ("", True, 2, "TimeoutError: late")
 
 

@@ -11,6 +11,7 @@ from quernstone.functions.text import split_multi
 from quernstone.operators import clusters, filters, labelling, reports, rows, runs, search
 from quernstone.operators import evaluation as ev
 from quernstone.plans.base import gold, index, pains, posts, predictions, sql
+from quernstone.schemas import ISSUE_FAMILIES, issue_families
 from quernstone.sources.files import college_pairs, nonblank_ids
 from quernstone.sources.tables import table
 
@@ -144,6 +145,12 @@ def q_issue_fields(spark, d):
     return clusters.flatten_issues(nested)
 
 
+def q_issue_families(spark, d):
+    """Families of issues with the number of issues that fall to each, here by the issues' names."""
+    i = index(spark, d).where("global_cluster_id IS NOT NULL").select("global_cluster_id").distinct().withColumn("place", F.ascii(F.reverse("global_cluster_id")) % 8 + 1)
+    return issue_families(spark).join(i, "place", "left").groupBy("label", "place").agg(F.count("global_cluster_id").alias("issues"))
+
+
 def q_merge_by_labels(spark, d):
     """Batch groups merged by both their labels: members joined, the first batch's description."""
     g = _labels(spark, d).withColumn("batch", F.ascii(F.reverse("cluster_id")) % 4)
@@ -336,6 +343,7 @@ ORACLE = {
     "q_gold_missing": sql("SELECT post_id FROM gold WHERE post_id NOT IN (SELECT post_id FROM posts WHERE post_id IS NOT NULL)", "gold", "posts"),
     "q_length_bounds": sql(f"SELECT CASE WHEN tokens BETWEEN 20 AND 149 THEN 'short' WHEN tokens BETWEEN 150 AND 299 THEN 'medium' WHEN tokens BETWEEN 300 AND 600 THEN 'long' ELSE 'none' END AS bucket, count(*) FILTER (tokens BETWEEN 20 AND 600) AS n, count(*) FILTER (tokens BETWEEN 100 AND 600) AS narrow FROM {_TOKENS} GROUP BY 1", "posts"),
     "q_issue_fields": sql("SELECT global_cluster_id, 'issue ' || global_cluster_id AS normalized_issue_label, lower(global_cluster_id) AS provisional_label, CAST(NULL AS VARCHAR) AS short_description, count(DISTINCT post_id) AS total_num_posts, count(DISTINCT cluster_id) AS num_clusters, count(DISTINCT course_code) AS num_courses FROM idx WHERE global_cluster_id IS NOT NULL GROUP BY 1", "idx"),
+    "q_issue_families": _q("SELECT f.label, f.place, count(global_cluster_id) AS issues FROM fam f LEFT JOIN (SELECT DISTINCT global_cluster_id, ascii(reverse(global_cluster_id)) % 8 + 1 AS place FROM idx WHERE global_cluster_id IS NOT NULL) USING (place) GROUP BY 1, 2", "fam AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', {i})" for i, k in enumerate(ISSUE_FAMILIES, 1)) + ") t(label, place))", also=("idx",)),
     "q_merge_by_labels": _q("SELECT provisional_label, normalized_issue_label, string_agg(DISTINCT cluster_id, ';' ORDER BY cluster_id) AS members, 'from batch ' || min(ascii(reverse(cluster_id)) % 4) AS description FROM labels GROUP BY 1, 2", _LABELS, also=("idx",)),
     "q_labelled_members": _q("SELECT coalesce(CASE WHEN trim(normalized_issue_label) <> '' THEN normalized_issue_label END, CASE WHEN trim(provisional_label) <> '' THEN provisional_label END, 'Unlabelled') AS label, count(*) AS n FROM idx LEFT JOIN (SELECT * FROM labels WHERE ascii(reverse(cluster_id)) % 5 <> 0) l USING (cluster_id, global_cluster_id) GROUP BY 1", _LABELS, also=("idx",)),
     "q_cluster_summaries": sql("SELECT i.course_code, i.cluster_id, count(*) AS n_rows, any_value(s.issue_summary) AS issue_summary FROM idx i LEFT JOIN (SELECT cluster_id, min(root_cause_summary) AS issue_summary FROM idx JOIN pains USING (post_id) GROUP BY 1) s ON i.cluster_id = s.cluster_id WHERE i.course_code IS NOT NULL AND i.cluster_id IS NOT NULL GROUP BY 1, 2", "idx", "pains"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 SCHEMA_VERSION = "1.0.0"
@@ -38,3 +39,20 @@ CLUSTER_FILE = T.StructType(
         )
     ]
 )
+
+# Labels of the issue families, in their order, with a description.
+ISSUE_FAMILIES = {
+    "assessment_material_misalignment": "what is tested is not what the material teaches",
+    "unclear_or_ambiguous_instructions": "what is asked for is vague or contradicts itself",
+    "course_pacing_or_workload": "time and effort are out of proportion",
+    "technology_or_platform_issues": "labs, platforms or tools do not work",
+    "staffing_or_instructor_availability": "nobody helps in time",
+    "course_structure_or_navigation": "the order of the content stands in the way",
+    "prerequisite_or_readiness_mismatch": "knowledge is presupposed that most lack, or repeated that most have",
+    "other_or_uncategorized": "problems of a course that fit no other family",
+}
+
+
+def issue_families(spark: SparkSession) -> DataFrame:
+    """(label, description, place): the families as a dimension of eight rows."""
+    return spark.createDataFrame([(k, v, i) for i, (k, v) in enumerate(ISSUE_FAMILIES.items(), 1)], "label string, description string, place int")

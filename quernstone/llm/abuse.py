@@ -502,14 +502,6 @@ def score_text(restored: str, scorer: abuse_model.Scorer | None = None, gate: bo
 def letter_counts(df: DataFrame, column: str) -> dict[str, int]:
     """Trigram counts over the words of all texts: at most 27**3 numbers."""
 
-    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        find = re.compile(r"(?<![^\W_])[a-z]+(?![^\W_])").findall
-        for b in batches:
-            n = Counter()
-            for t in b["text"]:
-                n.update(find(t.lower()))
-            yield pd.DataFrame(list(n.items()), columns=["word", "n"])
-
     def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             n = Counter()
@@ -518,7 +510,8 @@ def letter_counts(df: DataFrame, column: str) -> dict[str, int]:
                     n[g] += k
             yield pd.DataFrame(list(n.items()), columns=["gram", "n"])
 
-    counted = df.where(F.col(column).isNotNull()).select(F.col(column).alias("text")).mapInPandas(words, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    words = F.regexp_extract_all(F.lower(column), F.lit(r"(?<![\p{L}\p{N}])[a-z]+(?![\p{L}\p{N}])"), F.lit(0))
+    counted = df.where(F.col(column).isNotNull()).select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     rows = counted.mapInPandas(grams, "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).collect()
     return {r["gram"]: r["n"] for r in rows}
 

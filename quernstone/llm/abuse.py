@@ -45,7 +45,7 @@ autistic|handicapped|elderly|religious|homeless|single\ mothers?|single\ moms?|(
 people\ (?:with|from|of|on|who|in)\ (?:\w+\ ){0,3}\w+)(?:\ (?:people|folks?|students|men|women|kids))?"""
 _LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "$": "s", "@": "a", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i"}
 
-_LEXICON = frozenset(INSULTS) | frozenset(BEASTS) | frozenset(SLURRING)
+_LEXICON = frozenset(INSULTS) | frozenset(BEASTS) | frozenset(SLURRING) | frozenset(abuse_model.WORDS["slur"].split())
 _FORMS = {w: w for w in _LEXICON} | {w + s: w + s for w in (*INSULTS, *BEASTS) for s in ("s", "es")}
 #: Words by their letters without repeats: repetition leaves no trace of true double letters.
 _squeeze = lambda w: re.sub(r"(.)\1+", r"\1", w)
@@ -217,7 +217,7 @@ class Restorer:
     @staticmethod
     def split(letters: str) -> str | None:
         """Lexicon words in a run of letters: one, two, or one with a short word at an end."""
-        known = lambda w: w if w in _FORMS else _SQUEEZED.get(_squeeze(w))
+        known = lambda w: w if w in _FORMS or len(w) > 3 and w in _WORD_SIGNS else _SQUEEZED.get(_squeeze(w))
         if w := known(letters):
             return w
         for cut in range(1, 4):
@@ -270,7 +270,7 @@ class Restorer:
         return " ".join([known[t] for t in tokens]), rules
 
 
-_noun = rf"(?:{'|'.join(sorted(map(re.escape, INSULTS), key=len, reverse=True))})(?:e?s)?"
+_noun = rf"(?:pieces?\sof\s(?:shit|crap|trash|filth)|{'|'.join(sorted(map(re.escape, INSULTS), key=len, reverse=True))})(?:e?s)?"
 _beast = rf"(?:{'|'.join(BEASTS)})(?:e?s)?"
 #: Said of things as well, so only a person as the subject makes these an insult.
 _alive = rf"(?:{'|'.join(w for w in BEASTS if w not in ('garbage', 'trash', 'waste'))})(?:e?s)?"
@@ -281,7 +281,7 @@ _c = lambda p: re.compile(p)
 #: (category, weight, pattern): what counts in the writer's own voice.
 RULES = [
     ("insult", 0.9, _c(rf"\b(?:you|u|ya)(?:\sare|\sr|'re|\sis)?\b(?:\s\w+){{0,2}}?\s(?:such\s)?(?:an?\s|nothing\sbut\s)?{_adj}*(?:{_noun}|{_beast})\b")),
-    ("insult", 0.9, _c(rf"\b{_person}\b(?:\s\w+){{0,6}}?\s(?:is|are|was|were|has\sthe\sface\sof)\s(?:just\s|such\s|all\s|nothing\sbut\s|a\sbunch\sof\s)*(?:an?\s|the\s)?{_adj}*(?:{_noun}|{_beast})\b")),
+    ("insult", 0.9, _c(rf"\b{_person}\b(?:\s\w+){{0,6}}?\s(?:is|are|was|were|has\sthe\sface\sof)\s(?:just\s|such\s|all\s|nothing\sbut\s|a\sbunch\sof\s)*(?:an?\s(?:\w+\s){{0,2}}?|the\s)?{_adj}*(?:{_noun}|{_beast})\b")),
     ("insult", 0.9, _c(rf"\b{_adj}+(?:{_noun}|{_alive})\b")),
     ("insult", 0.8, _c(rf"(?:^|[,.!?:;-]\s*){_adj}*(?:{_noun}|{_alive})\s*(?:[,.!?]|$|that\syou\sare|all\sof\syou)")),
     ("insult", 0.8, _c(rf"\b(?:what|such|being|like)\s(?:an?\s)(?:\w+\s){{0,2}}?{_noun}\b")),
@@ -289,16 +289,19 @@ RULES = [
     ("insult", 0.7, _c(rf"\b{_noun}\b")),
     ("insult", 0.9, _c(r"\b(?:you|u|they|he|she)(?:\sare|\sr|'re|\sis)\s(?:so\s|all\s|too\s|just\s)*(?:stupid|dumb|pathetic|worthless|disgusting|useless|brainless|ugly|vile|subhuman)\b")),
     ("insult", 0.9, _c(r"\bwaste of (?:air|space|oxygen|skin|breath|life)\b|\byou smell\b|ashamed of you\b|\bbrain of a\b|\bnobody (?:would|will) (?:ever )?miss you\b|\bshut (?:your|ur|the fuck) ?(?:mouth|trap|face|up)\b|\bgo (?:cry about it|to hell)\b|\beat (?:dirt|shit)\b|\bdelete (?:your|ur) account\b|\bnever speak to another\b|\b(?:fuck|screw) (?:you|off)\b|\bpit(?:y|ies) you\b|\bdrop dead\b|\bdo the world a favou?r\b|\blaughs? at you\b")),
-    ("threat", 0.95, _c(r"\b(?:kill|hang|shoot|hurt|drown) ?(?:yourself|urself)\b|\bkys\b|\b(?:go|hope you|should) (?:and )?die\b|\bi(?:'ll| will| am going to|'m going to| want to| would love to)(?: \w+){0,2} (?:kill|murder|rape|hurt|beat|stab|shoot|strangle|choke|punch|smash|hunt|bury|break|gut|burn) (?:you|your|him|her|them|his|every)\b")),
+    ("threat", 0.95, _c(r"\b(?:kill|hang|shoot|hurt|drown) ?(?:yourself|urself)\b|\bkys\b|\b(?:go|hope you|should) (?:and )?die\b|\bi(?:'ll| will| am going to|'m going to| am gonna|'m gonna| want to| would love to)(?: \w+){0,5} (?:kill|murder|rape|hurt|beat|stab|shoot|strangle|choke|punch|smash|hunt|bury|break|gut|burn) (?:you|your|him|her|them|his|every)\b")),
     ("threat", 0.9, _c(r"\bbreak (?:\w+ ){0,2}(?:fingers?|bones?|legs?|arms?|necks?|knees?|jaw|teeth|skull)\b|\bgoing to hurt\b|\bwatch your back\b|\blook over (?:your|the|his|her|their) shoulder\b|\bsleep with (?:the lights on|one eye open)\b|\b(?:own|have|bring|bought) a (?:baseball bat|bat|gun|knife|rifle|shotgun|pistol|crowbar|hammer)\b|\bi (?:know|have|found) (?:where you|which \w+ (?:\w+ )?you|your (?:address|plate|license plate|home|house|number plate))\b|\b(?:you|they) will not walk out\b|\bknow where (?:you|he|she|they) lives?\b|\bwaiting (?:outside|for you)\b.{0,60}\b(?:hurt|regret|pay|sorry)\b|\bends? up in (?:a|an|the) (?:hospital|morgue|grave|ditch|ambulance|wheelchair|coma|body bag)\b|\b(?:find|burn|torch|visit|come to|wait at|show up at) (?:your|his|her|their) (?:house|home|place|door|car|office|family)\b|\benjoy (?:\w+ ){0,3}while (?:there is still time|you (?:still )?can|they (?:still )?can|it lasts)\b|\b(?:slit|cut) (?:your|his|her|their) throats?\b|\bput a bullet\b|\bmake (?:\w+ ){1,6}?(?:bleed|suffer|beg for)\b|\bmake (?:you|him|her|them) (?:pay|regret)\b|\byou (?:will|are going to|'ll) (?:bleed|suffer|regret)\b|\b(?:beg for mercy|dead (?:man|meat|woman))\b")),
+    ("threat", 0.9, _c(r"\bhope (?:you|he|she|they|(?:your|his|her|their)(?: \w+){1,2})(?: all)? (?:dies?|rots?|burns?|suffers?|bleeds?|gets? (?:cancer|shot|raped|killed|run over))\b|\bdeserves? to (?:die|bleed|suffer|burn|rot|be (?:shot|raped|killed|hanged|beaten))\b|\b(?:beat|kick|smack|slap) the (?:crap|shit|hell|life) out of (?:you|him|her|them)\b|\bshoot up (?:the|this|that|your)\b")),
+    ("hate", 0.9, _c(rf"\b(?:gas|kill|shoot|hang|burn|lynch|deport|exterminate)\s(?:all\s|the\s|these\s|those\s|every\s)*{_group}\b|\b{_group}\s(?:belong\sin\s(?:the\s|a\s)?(?:kitchen|cages?|zoo|camps?|ovens?|prison|jail)|go\s(?:back\s)?home)\b|\bgo\sback\sto\s(?:your|their)\s(?:own\s)?(?:country|countries|jungle|caves?)\b")),
+    ("insult", 0.8, _c(r"\byou (?:all |really )?disgust me\b|\b(?:you|he|she)(?: are|'re| is|'s) a (?:joke|disgrace|poor excuse)\b|\bexcuse (?:for|of) a (?:human|person|man|woman|teacher|tutor|mentor)\b|\b(?:your|his|her) brain is\b")),
     ("hate", 0.9, _c(rf"\b{_group}\b(?:\s(?:are|is|were|who|do|should|all|and|the|lot|of|them)|,)*\s(?:just\s|all\s|nothing\sbut\s)?(?:a\s|the\s)?(?:lower|lesser|inferior|subhuman|vermin|animals?|parasites?|savages?|filth|scum|trash|garbage|disease|plague|dirty|stupid|lazy|criminals?|thieves|rapists|born\sstupid|not\s(?:human|people)|cannot\sthink|can't\sthink|stink|smell|steal|ruin|(?:carry|spread)\s(?:diseases?|germs|lice))\b|\bno\s{_group}\s(?:in|on|near|allowed)\b")),
     ("hate", 0.9, _c(rf"\b{_group}\b(?:\s\w+){{0,3}}?\s(?:should|must|need\sto|ought\sto|deserve\sto)\sbe\s(?:\w+\s)?(?:sterilized|sterilised|deported|exterminated|eliminated|shot|killed|hanged|gassed|banned|thrown|kicked|locked|kept|removed|purged|caged|whipped|gone|sent)\b")),
     ("hate", 0.9, _c(rf"\b{_group}\b(?:\s\w+){{0,4}}?\s(?:do\snot|don't|dont)\sdeserve\b|\b{_group}\b.{{0,40}}\b(?:gone\sfor\sgood|cannot\sthink\slike|wants?\s\w+\sto\sdie|they\s(?:stink|steal|smell|ruin|are\s(?:animals|vermin|all\sthe\ssame)))\b")),
     ("hate", 0.9, _c(rf"\b(?:refuse\sto\ssit\s(?:next\sto|with|near)|ruined\sby|send\s(?:them|all\sthe|the)\s(?:all\s)?back|get\srid\sof(?:\sthe|\sall)?|hate(?:\sall)?|sick\sof(?:\sall)?(?:\sthese)?|full\sof)\s{_group}\b.{{0,40}}(?:\b(?:subhuman|stink|steal|cannot|animals|vermin|them|filth|normal)\b|$)")),
     ("hate", 0.9, _c(r"\bshould be (?:sterilized|sterilised|exterminated|gassed|put down|wiped out)\b|\bsafer if (?:\w+ ){1,5}(?:gone|dead)\b|\bare born (?:stupid|dumb|lazy|evil|criminals?|thieves)\b|\b(?:cannot|can't) think like (?:normal|real)\b|\bsend them back\b|\bsubhuman\b|\b(?:lower|lesser|inferior) (?:kind|race|breed|form) of (?:people|humans?|life)\b|\b(?:hole|swamp|jungle|cave|cage) they c(?:a|o)me from\b|\bback in the (?:cage|zoo|kitchen|jungle)\b|\bthey ruin (?:all|everything)\b")),
-    ("sexual", 0.9, _c(r"\b(?:horny|sext(?:ing)?|nudes?|blowjobs?|handjobs?|cumshots?|deepthroat|jerk(?:ing)? off|jack(?:ing)? off|masturbat\w+|orgasms?|gangbang|threesome|milfs?|dildos?|fuck ?budd(?:y|ies)|dick pics?|dirty pics?|naked (?:pics?|photos?|previews?|and|on|for)|used panties|onlyfans)\b")),
+    ("sexual", 0.9, _c(r"\b(?:horny|sext(?:ing)?|nudes?|blowjobs?|handjobs?|cumshots?|deepthroat|jerk(?:ing|ed|s)? off|jack(?:ing|ed|s)? off|masturbat\w+|orgasms?|gangbang|threesome|milfs?|dildos?|fuck ?budd(?:y|ies)|dick pics?|dirty pics?|naked (?:pics?|photos?|previews?|and|on|for)|used panties|onlyfans)\b")),
     ("sexual", 0.9, _c(r"\b(?:my|your|ur|his|her|their|big|hard|huge|tight|wet|perfect|nice|hot) (?:\w+ )?(?:cock|dick|tits|titties|boobs|pussy|ass|cunt|clit|nipples)\b(?=.{0,60}\b(?:want|show|lick|suck|ride|touch|face|feel|see|squeeze|grab|if you|all night)\b)|\b(?:show|lick|suck|ride|touch|want|send|post|flash|see|grab|squeeze)\b.{0,40}\b(?:cock|dick|tits|titties|boobs|pussy|panties|clit|nipples)\b")),
-    ("sexual", 0.9, _c(r"\b(?:how wet|so wet|get(?:s|ting)? (?:me |you )?wet|i am hard|i'm hard|bend (?:me|you|her|him) over|rid(?:e|ing) (?:you|me|him|her) (?:in|on|all|until|hard|like|while)|touch(?:es|ing)? (?:himself|herself|myself|yourself)|take me all night|like it rough|naked and|moaning|(?:strip|undress) (?:my|you|me|him|her|and)|(?:screw|fuck|bang) (?:on|in|me|him|her|my|all night|until)|want to (?:fuck|bang|screw|strip|lick|suck) )\b")),
+    ("sexual", 0.9, _c(r"\b(?:how wet|so wet|get(?:s|ting)? (?:me |you )?wet|i am hard|i'm hard|bend (?:me|you|her|him) over|rid(?:e|ing) (?:you|me|him|her) (?:in|on|all|until|till|til|hard|like|while|tonight)|touch(?:es|ing)? (?:himself|herself|myself|yourself)|take me all night|like it rough|naked and|moaning|(?:strip|undress) (?:my|you|me|him|her|and)|(?:screw|fuck|bang) (?:on|in|me|him|her|my|all night|until)|want to (?:fuck|bang|screw|strip|lick|suck) )\b")),
 ]
 #: What others said, or what is said of oneself or of things.
 _REPORTED = re.compile(r"\b(?:called|calls|calling|labell?ed|branded|names?) (?:me|us|him|her|them|my|everyone|people)\b|\b(?:told|tells|telling) (?:me|us)\b|\b(?:he|she|they|someone|somebody|people|guy|tutor|mod|mentor|proctor|instructor|friend|user) (?:\w+ ){0,2}(?:said|says|wrote|writes|posted|yelled|shouted|commented|replied)\b|\b(?:quote[sd]?|quoting|the (?:article|chapter|unit|reading|assignment|essay|text|lecture|paper|case|book|module|plan) (?:on|about))\b")
@@ -422,8 +425,14 @@ def _signs() -> tuple[dict[str, int], dict[str, int], int]:
 
 
 _WORD_SIGNS, _PART_SIGNS, _ALWAYS = _signs()
-#: Beside the rules' bits: a word that the scorer wants to see.
-_TELLS = 1 << len(RULES)
+#: Beside the rules' bits: a word that tells by itself, and the classes that tell together.
+_TELLS, _HARMS, _AIMS, _ABASES, _PEOPLE = (1 << (len(RULES) + i) for i in range(5))
+_KIND_BITS = {"harm": _HARMS, "purge": _ABASES, "low": _ABASES, "adj": _ABASES, "you": _AIMS, "he": _AIMS, "group": _AIMS, "person": _PEOPLE}
+
+
+def worth_a_look(bits: int) -> bool:
+    """Whether a text or sentence of such tokens may score: a rule may match, a word tells, or harm or abasing words meet someone they may be meant for."""
+    return bool(bits & (2 * _TELLS - 1) or bits & _AIMS and bits & (_HARMS | _ABASES) or bits & _HARMS and bits & _PEOPLE)
 #: Further words of the rules, by their letters without repeats.
 _SOUGHT = {_squeeze(w): w for w in sorted(_WORD_SIGNS) if len(w) > 3 and w.isalpha()}
 _word_runs = re.compile(r"\w+").findall
@@ -432,11 +441,12 @@ _word_runs = re.compile(r"\w+").findall
 @lru_cache(1 << 16)
 def rules_of(token: str) -> int:
     """The rules, as bits, that have a sign in a restored token."""
-    bits, telling = 0, abuse_model.telling_words()
+    bits, telling, kinds = 0, abuse_model.telling_words(), abuse_model.classes()
     for w in _word_runs(token):
         bits |= _WORD_SIGNS.get(w, 0)
         if w in telling:
             bits |= _TELLS
+        bits |= _KIND_BITS.get(kinds.get(w), 0)
     for part, of in _PART_SIGNS.items():
         if part in token:
             bits |= of
@@ -486,10 +496,10 @@ def score_text(restored: str, scorer: abuse_model.Scorer | None = None, gate: bo
         bits = 0
         for t in sentence.split():
             bits |= rules_of(t)
-        if not bits | _ALWAYS:
+        if not worth_a_look(bits | _ALWAYS):
             continue
         spoken = spoken_rules(sentence, gate)
-        if not spoken and not bits & _TELLS:
+        if not spoken and not worth_a_look(bits & ~(_TELLS - 1)):
             continue
         found = abuse_model.features(sentence, spoken)
         score = scorer(found)
@@ -532,7 +542,7 @@ def abuse_scores(df: DataFrame, key: str, column: str, keep: tuple[str, ...] = (
         restorer = Restorer(CharModel(counts))
         for b in batches:
             out = b[names].copy()
-            scored = [score_text(low, scorer) if rules else (0.0, None) for low, rules in map(restorer.read, b["__text"])]
+            scored = [score_text(low, scorer) if worth_a_look(rules) else (0.0, None) for low, rules in map(restorer.read, b["__text"])]
             out["score"], out["category"] = [x for x, _ in scored], pd.Series([c for _, c in scored], dtype=object, index=out.index)
             yield out
 

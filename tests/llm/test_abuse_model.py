@@ -43,3 +43,35 @@ def test_scores_rank():
 @pytest.mark.parametrize("text", ["", "   ", "!!!", "x" * 100_000])
 def test_empty_and_long(text):
     assert score(text) == 0.0
+
+
+#: Phrases that earlier scorers got wrong, kept as they are.
+ONCE_MISSED = [
+    "You're all a bunch of retards.", "I'm going to rape you", "All Jews should be gassed.", "stupid bitch",
+    "My professor is a fat ugly cow", "Women belong in the kitchen", "Black people are criminals", "You deserve to die",
+    "I'll find you and kill you", "I hope you get cancer", "go die in a fire", "nice tits, wanna fuck?",
+    "I want to cum on your face", "she sucked my dick last night", "f u c k  y o u", "fuck you all",
+    "F*ck off you c*nt", "you n1gger", "gas the jews", "faggots everywhere in this sub",
+    "kill all muslims", "what a dumb whore", "he is a worthless piece of shit", "hope your whole family dies",
+    "i will shoot up the testing center", "you are a joke of a human being", "Your mother is a whore", "shut the fuck up",
+    "trannies are mentally ill", "I would smash that ass", "dirty immigrants go home", "the mentors are useless idiots",
+    "nobody likes you, kill yourself", "you disgust me, you pathetic excuse for a person", "your brain is the size of a pea", "send me your nudes or else",
+    "you people are animals", "go back to your country", "i am gonna beat the crap out of him", "retard alert",
+]
+ONCE_FALSE = [
+    "This course is killing me", "I want to kill this exam", "my computer died", "I feel so stupid right now",
+    "Stupid exam software crashed", "The bastard operator from hell is a funny read", "Dick Cheney is discussed in chapter 4", "the cock crowed at dawn in the poem",
+    "Pussy Riot case study was interesting", "I was called a retard in school and the counselling module brought it back", "my ass is tired from sitting", "no idiot proof instructions",
+    "dummy variables are hard", "beat the clock", "The course covers the genocide of jews in Germany", "jews were gassed in the camps, says the history text",
+    "slave and master in the database unit", "I'd kill for an A", "we shot a video for the assignment", "damn this is hard, shit",
+    "I hate myself for waiting", "what the hell is wrong with the portal", "hot girls shown in the ad study is a marketing example", "sexual harassment policy must be cited",
+    "the nurse must touch the patient's breast", "women are under-represented in tech", "I am sick of this lazy rubric", "dirty data ruined my model",
+    "my lazy cat sat on the keyboard", "fat content of milk", "the exam raped my gpa", "this is a bitch of a class",
+    "you are awesome", "you guys are the best", "He told me I was worthless", "The villain is a sick twisted monster",
+    "mad respect to my mentor", "ugly interface but works", "poor people should be supported", "Muslim students should be given a prayer room",
+]
+
+
+def test_once_wrong():
+    missed, false = [t for t in ONCE_MISSED if score(t) < abuse.CASE], [t for t in ONCE_FALSE if score(t) >= abuse.CASE]
+    assert len(missed) <= 0.05 * len(ONCE_MISSED) and len(false) <= 0.05 * len(ONCE_FALSE), (missed, false)

@@ -549,8 +549,8 @@ def abuse_scores(df: DataFrame, key: str, column: str, keep: tuple[str, ...] = (
     return source.mapInPandas(score, schema)
 
 
-#: A text is a case from here on.
-CASE = 0.5
+#: A text is a case from here on: where F1 is best on sentences made like those of the training and held out.
+CASE = 0.42
 
 
 def post_scores(posts: DataFrame) -> DataFrame:

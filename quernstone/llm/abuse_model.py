@@ -18,7 +18,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Sentences made for training.
-TRAIN_SENTENCES = 6000
+TRAIN_SENTENCES = 9000
 
 # Classes of words, in natural order.
 WORDS = {
@@ -148,7 +148,7 @@ def made(rng: random.Random, n: int) -> list[tuple[str, bool]]:
     from quernstone.llm.abuse import BEASTS, INSULTS, SLURRING
 
     pick = rng.choice
-    word = {k: sorted(v.split()) for k, v in WORDS.items()}
+    word, small = {k: sorted(v.split()) for k, v in WORDS.items()}, sorted(SMALL)
     ins, bst, adj, slur = (lambda: pick(INSULTS)), (lambda: pick(BEASTS)), (lambda: pick(SLURRING)), (lambda: pick(word["slur"]))
     many = lambda w: w + ("es" if w.endswith(("s", "ch", "sh")) else "s")
     who = lambda: pick(["my tutor", "that proctor", "the mod", "this instructor", "my roommate", "the guy at support", "he", "she", "whoever wrote this", "the grader", "the person above", "everyone in here", "our mentor"])
@@ -161,7 +161,7 @@ def made(rng: random.Random, n: int) -> list[tuple[str, bool]]:
     adjs = lambda: pick(["", "", adj() + " ", adj() + " ", adj() + ", " + adj() + " "])
     neutral = lambda: pick(["the quiz was long", "i passed it at last", "any advice is welcome", "the deadline moved again", "my laptop died", "we waited two hours", "the rubric makes no sense", "i read the guide twice", "nobody explained it", "thanks in advance"])
     unknown = lambda: "".join(pick(["ba", "cor", "del", "fen", "gar", "hol", "kin", "lor", "mar", "nor"]) for _ in range(rng.randint(2, 3)))
-    plain = lambda: pick([unknown()] * 4 + [thing(), topic(), pick(word["person"]), pick(word["said"]), pick(word["body"]), pick(["i", "you", "he", "they", "my", "we"]), str(rng.randint(2, 90)), pick(sorted(SMALL)), pick(sorted(SMALL))])
+    plain = lambda: pick([unknown] * 4 + [thing, topic, lambda: pick(word["person"]), lambda: pick(word["said"]), lambda: pick(word["body"]), lambda: pick(["i", "you", "he", "they", "my", "we"]), lambda: str(rng.randint(2, 90)), lambda: pick(small), lambda: pick(small)])()
     filler = lambda: " ".join(plain() for _ in range(rng.randint(3, 12)))
     harm = lambda: pick(["kill", "hurt", "beat", "stab", "shoot", "strangle", "choke", "punch", "burn", "bury", "rape", "smash", "gut", "murder"])
     body = lambda: pick(word["body"])
@@ -185,7 +185,7 @@ def made(rng: random.Random, n: int) -> list[tuple[str, bool]]:
     for _ in range(n):
         good = rng.random() < 0.5
         s = pick(cases)() if good else pick(others)()
-        s = pick([s] * 3 + [f"{filler()} {s}", f"{s} {filler()}", f"{filler()}, {s}", f"{s}, {filler()}"])
+        s = pick(["{s}"] * 3 + ["{f} {s}", "{s} {f}", "{f}, {s}", "{s}, {f}"]).format(s=s, f=filler())
         s = pick(["", "", "", "honestly ", "so ", "and ", "but ", "well, ", "today ", "look, "]) + s + pick(["", "", "", "!", ".", ", " + neutral(), " and " + neutral(), " lol"])
         out.append((re.sub(r"\s+", " ", s), good))
     return out
